@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import packing, sharding, token_files
+from . import mixing, near_dedup, packing, sharding, token_files
 
 QUERIES = {
+    "op1_near_dedup": near_dedup.op1_near_dedup,
+    "op2_mixing": mixing.op2_mixing,
     "op4_token_files": token_files.op4_token_files,
     "op8_packing": packing.op8_packing,
     "op10_sharding": sharding.op10_sharding,
