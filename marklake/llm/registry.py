@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dedup, packing, sharding, token_files
+from . import mixing, near_dedup, packing, quality, sharding, token_files
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
     "op2_mixing": mixing.op2_mixing,
     "op4_token_files": token_files.op4_token_files,
+    "op5_quality": quality.op5_quality,
     "op8_packing": packing.op8_packing,
     "op10_sharding": sharding.op10_sharding,
 }

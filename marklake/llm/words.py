@@ -52,3 +52,23 @@ def shingles(h: np.ndarray, n: int = 5) -> np.ndarray:
     if len(h) == 0:
         return h
     return np.unique(ngrams(h, n) if len(h) >= n else ngrams(h, len(h)) ^ U64(len(h)))
+
+
+def text_bytes(texts) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a string array without nulls, and the ``n + 1`` places where the texts begin and end."""
+    import pyarrow as pa
+
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    bounds = np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = texts.buffers()[2]
+    data = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.zeros(0, np.uint8)
+    return data, bounds - bounds[0]
+
+
+def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` between consecutive bounds (0 where they are equal)."""
+    out = np.zeros(len(bounds) - 1, np.int64)
+    full = np.flatnonzero(bounds[1:] > bounds[:-1])
+    if len(full):
+        out[full] = np.add.reduceat(values, bounds[:-1][full], dtype=np.int64)
+    return out
