@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, raw, ship, table
+from .common import pieces, ship, table
 from .tokens import encoder, vocabulary
 
 CAPACITY = 2048
@@ -94,9 +94,12 @@ def _packer(path: str, capacity: int, with_ids: bool):
             rows.clear()
             return got
 
-        for part in pieces(batches, "text", 2 << 20):
-            for doc, ids in zip(part.column("doc_id").to_pylist(), enc.encode(raw(part.column("text"))), strict=True):
-                total = len(ids) // width
+        for part in pieces(batches, "text"):
+            flat, ends = enc.encode(part.column("text"))
+            data, begin = flat.tobytes(), 0
+            for doc, end in zip(part.column("doc_id").to_pylist(), ends.tolist(), strict=True):
+                ids, total = data[begin * width : end * width], end - begin
+                begin = end
                 full = total // capacity
                 for j in range(full):
                     piece(doc, ids[j * capacity * width : (j + 1) * capacity * width], j * capacity, total, next_id, 0)
