@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dedup, packing, quality, sharding, token_files
+from . import language, mixing, near_dedup, packing, quality, sharding, token_files, toxicity
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
     "op2_mixing": mixing.op2_mixing,
+    "op3_language": language.op3_language,
     "op4_token_files": token_files.op4_token_files,
     "op5_quality": quality.op5_quality,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op8_packing": packing.op8_packing,
     "op10_sharding": sharding.op10_sharding,
 }

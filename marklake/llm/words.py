@@ -72,3 +72,30 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     if len(full):
         out[full] = np.add.reduceat(values, bounds[:-1][full], dtype=np.int64)
     return out
+
+
+PLAIN_BYTES = np.full(256, 32, np.uint8)
+PLAIN_BYTES[48:58] = np.arange(48, 58)
+PLAIN_BYTES[65:91] = np.arange(97, 123)
+PLAIN_BYTES[97:123] = np.arange(97, 123)
+PLAIN_BYTES[128:] = np.arange(128, 256)
+
+
+def plain_words(texts) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Words of ASCII letters (lower-cased), digits and other bytes above 127; all else separates.  Gives the
+    different words of the batch, the number of each word in order, and the bounds of the texts."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    data, bounds = text_bytes(pc.fill_null(texts, ""))
+    text = pa.StringArray.from_buffers(len(texts), pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(PLAIN_BYTES[data]))
+    words = pc.ascii_split_whitespace(text)
+    found = words.flatten().dictionary_encode()
+    unique = found.dictionary.cast(pa.binary()).to_pylist()
+    ids = found.indices.to_numpy()
+    real = np.ones(len(unique), bool)
+    if b"" in unique:
+        real[unique.index(b"")] = False
+    keep = real[ids]
+    ends = np.concatenate([[0], np.cumsum(keep)])[words.offsets.to_numpy()]
+    return unique, ids[keep], ends
