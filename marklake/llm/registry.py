@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, mixing, near_dedup, packing, quality, sharding, token_files, toxicity
+from . import ball_tree, language, mixing, near_dedup, packing, quality, sharding, token_files, toxicity
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -11,8 +11,9 @@ QUERIES = {
     "op4_token_files": token_files.op4_token_files,
     "op5_quality": quality.op5_quality,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_top_products": ball_tree.op7_top_products,
     "op8_packing": packing.op8_packing,
     "op10_sharding": sharding.op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_top_products": ball_tree.SQL}
