@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ball_tree, language, mixing, near_dedup, packing, quality, sharding, token_files, toxicity
+from . import ball_tree, language, line_dedup, mixing, near_dedup, packing, quality, sharding, token_files, toxicity
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_top_products": ball_tree.op7_top_products,
     "op8_packing": packing.op8_packing,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_sharding": sharding.op10_sharding,
 }
 
