@@ -9,7 +9,8 @@ out as expected: a flight keeps three undecided documents, moves their probabili
 of the two totals, (s3 - s2, s1 - s3, s2 - s1) for sizes s, until one is decided, and lets in the next.
 At most two of a flight stay undecided.  Flights run over blocks of about ``BLOCK`` documents of one
 source; the undecided of many blocks meet in the flight of the next level, until each source has one
-block, whose last two are landed on the total of words that is nearest.
+block, whose last two are landed on the total of words that is nearest; a few decisions of that block are
+turned over where that makes up for the rest.
 
 So a source with a third of all rows is many blocks, and no step holds more than one.  The random numbers
 depend on the block alone, and rows stand in the order of descending size, then doc_id, so reruns agree.
@@ -24,7 +25,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,12 +36,13 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCK, MERGE = 8192, 2048
 EPS = 1e-9
+TURNS = 12
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in pieces(batches, "text"):
         size = np.array([len(t.split()) if t else 0 for t in raw(part.column("text"))], np.int64)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array(size)], ["doc_id", "source", "size"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), part.column("h"), pa.array(size)], ["doc_id", "source", "h", "size"])
 
 
 def flight(p: np.ndarray, s: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -81,7 +82,8 @@ def flight(p: np.ndarray, s: np.ndarray, rng: np.random.Generator) -> np.ndarray
 
 
 def land(p: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """Decide the few that are left, nearest to the expected words, then documents."""
+    """Decide the few that are left, nearest to the expected words, then documents.  What they leave over is
+    made up by turning over the decisions that fit it best, as long as that comes nearer."""
     open_ = np.flatnonzero((p > EPS) & (p < 1 - EPS))
     if not len(open_):
         return np.round(p)
@@ -93,17 +95,25 @@ def land(p: np.ndarray, s: np.ndarray) -> np.ndarray:
             best = (error, x)
     out = np.round(p)
     out[open_] = best[1]
+    over = float((p * s).sum() - (out * s).sum())
+    for _ in range(TURNS):
+        gain = np.where(out > 0, -s, s)
+        i = int(np.abs(over - gain).argmin())
+        if abs(over - gain[i]) >= abs(over):
+            break
+        out[i] = 1 - out[i]
+        over -= float(gain[i])
     return out
 
 
 def _fly(seed: int, level: int, last: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(t: pa.Table) -> pa.Table:
         # Long documents are decided first, so that short ones are left to land.
-        pdf = pdf.sort_values(["size", "doc_id", "unit"], ascending=[False, True, True], kind="stable", na_position="first")
-        rng = np.random.default_rng([seed, level, int(pdf["rank"].iloc[0]), int(pdf["block"].iloc[0])])
-        size = pdf["size"].to_numpy()
-        p = flight(pdf["p"].to_numpy(), size, rng)
-        return pdf.assign(p=land(p, size) if last else p)
+        t = t.sort_by([("size", "descending"), ("doc_id", "ascending"), ("unit", "ascending")])
+        rng = np.random.default_rng([seed, level, t.column("rank")[0].as_py(), t.column("block")[0].as_py()])
+        size = t.column("size").to_numpy()
+        p = flight(t.column("p").to_numpy(), size, rng)
+        return t.set_column(t.schema.get_field_index("p"), "p", pa.array(land(p, size) if last else p))
 
     return run
 
@@ -131,11 +141,22 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 7) -> DataFrame:
-    """doc_id, source, size, source_size, target and copies (how often it is taken) of each row of ``docs``
-    (doc_id, source, text), and ``unit``, a number for each row."""
+    """doc_id, source, h (a hash of its text), size, source_size, target and copies (how often it is taken) of
+    each row of ``docs`` (doc_id, source, text)."""
     ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
-    return _mixed(docs.mapInArrow(_sizes, "doc_id long, source string, size long"), weights, most, seed)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("h"), "text")
+    return _mixed(docs.mapInArrow(_sizes, "doc_id long, source string, h long, size long"), weights, most, seed)
+
+
+def take(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 7) -> DataFrame:
+    """The rows of the mix, with all columns of ``docs``: each as often as it is taken."""
+    same = Window.partitionBy("__id", "__h").orderBy(F.lit(0))
+    mine = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__h", F.xxhash64("text")).withColumn("__n", F.row_number().over(same))
+    units = mix(docs, weights, most, seed).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("copies").cast("int").alias("__copies"))
+    units = units.withColumn("__n", F.row_number().over(same)).filter("__copies > 0").alias("u")
+    mine = mine.alias("d")
+    rows = mine.join(units, F.col("d.__id").eqNullSafe(F.col("u.__id")) & (F.col("d.__h") == F.col("u.__h")) & (F.col("d.__n") == F.col("u.__n")))
+    return rows.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("u.__copies"))).alias("__copy")).drop("__copy")
 
 
 def _mixed(sizes: DataFrame, weights: tuple[float, ...], most: float, seed: int) -> DataFrame:
@@ -144,7 +165,7 @@ def _mixed(sizes: DataFrame, weights: tuple[float, ...], most: float, seed: int)
     largest = goal.agg(F.max("n")).first()[0] or 0
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     units = sizes.join(goal, sizes.source.eqNullSafe(goal.source)).select(
-        "unit", "doc_id", sizes.source, "size", "rank", "n", "source_size", "target", F.floor(rate).alias("base"), (rate - F.floor(rate)).alias("p")
+        "unit", "doc_id", "h", sizes.source, "size", "rank", "n", "source_size", "target", F.floor(rate).alias("base"), (rate - F.floor(rate)).alias("p")
     )
     blocks = max(1, math.ceil(largest / BLOCK))
     block = F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("n") / F.lit(BLOCK))).cast("long")
@@ -152,7 +173,7 @@ def _mixed(sizes: DataFrame, weights: tuple[float, ...], most: float, seed: int)
     level, done = 0, []
     fly = units.filter((F.col("p") > EPS) & (F.col("p") < 1 - EPS)).select("unit", "doc_id", "size", "rank", block.alias("block"), "p")
     while True:
-        after = cut(fly.groupBy("rank", "block").applyInPandas(_fly(seed, level, blocks == 1), flown), "flight")
+        after = cut(fly.groupBy("rank", "block").applyInArrow(_fly(seed, level, blocks == 1), flown), "flight")
         open_ = (F.col("p") > EPS) & (F.col("p") < 1 - EPS)
         done.append(after.filter(~open_).select("unit", "p"))
         if blocks == 1:
@@ -163,7 +184,7 @@ def _mixed(sizes: DataFrame, weights: tuple[float, ...], most: float, seed: int)
     for d in done[1:]:
         decided = decided.unionByName(d)
     extra = F.coalesce(decided["p"], F.round(units["p"])).cast("long")
-    return units.join(decided, "unit", "left").select("unit", "doc_id", "source", "size", "source_size", "target", (F.col("base") + extra).alias("copies"))
+    return units.join(decided, "unit", "left").select("doc_id", "source", "h", "size", "source_size", "target", (F.col("base") + extra).alias("copies"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

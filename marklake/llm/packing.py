@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, ship, table
+from .common import lists, pieces, ship, table
 from .tokens import encoder, vocabulary
 
 CAPACITY = 2048
@@ -73,10 +73,13 @@ def _packer(path: str, capacity: int, with_ids: bool):
         width = np.dtype(enc.kind).itemsize
         held: list[tuple[int | None, bytes, int]] = []  # of each open document: its id, its remainder's ids, where that starts
         rows: list[tuple] = []
+        row_ids: list[np.ndarray] = []
 
         def piece(doc, ids, start, total, seq, offset):
             ids = np.frombuffer(ids, enc.kind).astype("<u4")
-            rows.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), total, seq, offset) + ((ids.tolist(),) if with_ids else ()))
+            rows.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), total, seq, offset))
+            if with_ids:
+                row_ids.append(ids)
 
         def close():
             nonlocal next_id
@@ -89,9 +92,10 @@ def _packer(path: str, capacity: int, with_ids: bool):
 
         def out():
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
-            kinds = [pa.int64()] * 7 + [pa.list_(pa.int32())] * with_ids
-            got = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+            columns = [pa.array(c, pa.int64()) for c in zip(*rows)] + ([lists(row_ids, pa.int32())] if with_ids else [])
+            got = pa.RecordBatch.from_arrays(columns, names)
             rows.clear()
+            row_ids.clear()
             return got
 
         for part in pieces(batches, "text"):
@@ -108,8 +112,8 @@ def _packer(path: str, capacity: int, with_ids: bool):
                     held.append((doc, ids[full * capacity * width :], full * capacity))
                     if len(held) == BLOCK:
                         close()
-            if len(rows) >= 2000:
-                yield out()
+                if len(rows) >= 2000:
+                    yield out()
         if held:
             close()
         if rows:
