@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import pieces, raw, shared_path, ship, table
+from .common import pieces, shared_path, ship, table
 from .tokens import encoder, vocabulary
 
 ROW = "doc_id long, block int, block_start long, n_tokens int, ids array<int>"
@@ -34,18 +34,16 @@ INDEX_STRIDE = 2_000
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, done, enc = TaskContext.get().partitionId(), 0, encoder(path)
-        for part in pieces(batches, "text", 2 << 20):
-            ids = enc.encode(raw(part.column("text")))
-            counts = np.array([len(x) for x in ids], np.int64) // np.dtype(enc.kind).itemsize
-            ends = np.concatenate([[0], np.cumsum(counts)])
-            flat = np.frombuffer(b"".join(ids), enc.kind).astype(np.int32)
+        for part in pieces(batches, "text"):
+            flat, ends = enc.encode(part.column("text"))
+            ends = np.concatenate([[0], ends])
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
-                    pa.array(np.full(len(ids), block, np.int32)),
+                    pa.array(np.full(len(ends) - 1, block, np.int32)),
                     pa.array(ends[:-1] + done),
-                    pa.array(counts.astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat)),
+                    pa.array(np.diff(ends).astype(np.int32)),
+                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int32))),
                 ],
                 ["doc_id", "block", "block_start", "n_tokens", "ids"],
             )
@@ -74,11 +72,15 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str) -> None:
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it) and ids of every document in the files."""
-    rows = spark.read.schema(ROW).orc(path)
+    return _placed(spark.read.schema(ROW).orc(path), spark.read.schema(ROW).orc(path)).drop("block")
+
+
+def _placed(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """``rows`` with start, the ids of all documents before each, for block_start."""
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    # One row for each block: as many as write tasks.
-    bases = rows.groupBy("block").agg(F.sum("n_tokens").alias("total")).select("block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    return rows.join(bases, "block").select("doc_id", (F.col("base") + F.col("block_start")).alias("start"), "ids")
+    # One row for each block, of which there are as many as write tasks: spark.sql.shuffle.partitions at most.
+    bases = files.groupBy("block").agg(F.sum("n_tokens").alias("total")).select("block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    return rows.join(F.broadcast(bases), "block").withColumn("start", F.col("base") + F.col("block_start")).drop("base", "block_start")
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
@@ -93,8 +95,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         view = memoryview(ids.values.to_numpy().astype("<u4").tobytes())
         crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(ends[:-1], ends[1:])]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("start"), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())],
-            ["doc_id", "start", "n_tokens", "ids_crc32"],
+            [batch.column("doc_id"), batch.column("block"), batch.column("block_start"), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())],
+            ["doc_id", "block", "block_start", "n_tokens", "ids_crc32"],
         )
 
 
@@ -102,4 +104,6 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the ORC files read back."""
     path = shared_path(spark, "ids")
     write_ids(table(spark, sf_dir, "documents"), path, vocabulary())
-    return read_ids(spark, path).mapInArrow(_digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    files = spark.read.schema(ROW).orc(path)
+    digests = files.select("doc_id", "block", "block_start", "ids").mapInArrow(_digest, "doc_id long, block int, block_start long, n_tokens long, ids_crc32 long")
+    return _placed(digests, files).select("doc_id", "start", "n_tokens", "ids_crc32")
