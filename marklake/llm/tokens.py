@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .words import as_list
+
 END_ID = 1
 GENERATION = 250_000
 TAIL = b".,!?:;"
@@ -64,15 +66,16 @@ class Encoder:
         for i, ids in zip(rest, self._ids([text[i] for i in rest]), strict=True):
             new[words[i]] = ids.tobytes()
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Make every word of ``words`` known."""
+    def _learn(self, words: list[bytes]) -> list[bytes]:
+        """The ids of every one of ``words``."""
         if len(self.words) >= self.generation:
             self.older, self.words = self.words, {}
         new, old = self.words, self.older
+        found = list(map(new.get, words))
+        unknown = [i for i, ids in enumerate(found) if ids is None]
         missing, split = set(), []
-        for w in words:
-            if w in new:
-                continue
+        for i in unknown:
+            w = words[i]
             if (ids := old.get(w)) is not None:
                 new[w] = ids
                 continue
@@ -90,6 +93,9 @@ class Encoder:
         self._library(list(missing))
         for w, a, b in split:
             new[w] = new[a] + new[b]
+        for i in unknown:
+            found[i] = new[words[i]]
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all ``texts`` in a row, each with the end id, and where each text's ids end.  Null
@@ -98,9 +104,8 @@ class Encoder:
         odd = np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False))
         words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         found = words.flatten().dictionary_encode()
-        unique = found.dictionary.cast(pa.binary()).to_pylist()
-        self._learn(unique)
-        ids = list(map(self.words.__getitem__, unique)) + [np.array([END_ID], self.kind).tobytes()]
+        unique = as_list(found.dictionary)
+        ids = self._learn(unique) + [np.array([END_ID], self.kind).tobytes()]
         # The end id is one more word, after the words of each text.
         n_words = np.diff(words.offsets.to_numpy())
         stops = np.cumsum(n_words + 1)
