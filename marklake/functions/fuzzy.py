@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _lcs(places: dict[str, int], n: int, window: str) -> int:
@@ -50,6 +51,8 @@ def partial_ratio(a: str, b: str) -> float:
     return best
 
 
-@F.pandas_udf("double")
-def partial_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+def _one(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([partial_ratio(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
+
+
+partial_ratio_udf = F.pandas_udf(_one, DoubleType())
