@@ -95,13 +95,18 @@ def length_profile(token_array: Arg) -> Column:
 
 def negated(answer_norm: Arg, target_stems: Arg, window: int = 4) -> Column:
     """Whether a negator stands at most ``window`` words before a stem of the target, or is one."""
-    said = words(answer_norm)
     neg = F.array(*[F.lit(n) for n in NEGATORS])
-    at = F.sequence(F.lit(0), F.size(said) - 1)
-    is_neg = F.transform(said, lambda t: F.array_contains(neg, t) | F.array_contains(neg, stem(t)))
-    is_target = F.transform(said, lambda t: F.array_contains(col(target_stems), stem(t)))
-    near = F.exists(at, lambda i: F.get(is_target, i) & F.exists(F.slice(is_neg, F.greatest(F.lit(1), i + 1 - window), F.least(F.lit(window + 1), i + 1)), lambda x: x))
-    return F.when((F.size(said) == 0) | (F.size(col(target_stems)) == 0), F.lit(False)).otherwise(F.coalesce(near, F.lit(False)))
+
+    def step(state: Column, t: Column) -> Column:
+        """Position, that of the last negator, and whether a target was within reach of one."""
+        root = stem(t)
+        last = F.when(F.array_contains(neg, t) | F.array_contains(neg, root), state["i"]).otherwise(state["last"])
+        hit = F.array_contains(col(target_stems), root) & (state["i"] - last <= window)
+        return F.struct((state["i"] + 1).alias("i"), last.alias("last"), (state["hit"] | hit).alias("hit"))
+
+    begin = F.struct(F.lit(0).alias("i"), F.lit(-window - 1).alias("last"), F.lit(False).alias("hit"))
+    near = F.aggregate(words(answer_norm), begin, step, lambda s: s["hit"])
+    return F.when(F.size(col(target_stems)) == 0, F.lit(False)).otherwise(F.coalesce(near, F.lit(False)))
 
 
 def header(c: Arg) -> Column:

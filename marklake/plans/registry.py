@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import gradebook
+from . import gradebook, texts
 
-_MODULES = (gradebook,)
+_MODULES = (gradebook, texts)
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
