@@ -2,7 +2,7 @@
 
 Examples and documents are TF-IDF vectors ((1 + ln tf) * ln(1 + N / df)) over a vocabulary chosen when the
 labels are learned: terms in at least ``MIN_DF`` examples that toxic ones hold more often than chance, by a
-chi-square of ``CHI`` or more.  The ``K`` examples of highest cosine are found exactly through an inverted
+chi-square of ``CHI`` or more, and at least ``LIFT`` times as often as others.  The ``K`` examples of highest cosine are found exactly through an inverted
 index with block maxima: examples stand in blocks of ``BLOCK``; a block's bound is the sum over the
 document's terms of its weight times the block's largest; blocks are visited by descending bound until the
 bound is below the k-th cosine.  Votes weigh by cosine and by how many labelled rows an example stands for,
@@ -32,7 +32,8 @@ from .common import lists, mod_of_id, pieces, ship, table
 from .words import plain_words
 
 SAMPLE = 4000
-MIN_DF, CHI = 5, 30.0
+MIN_DF, CHI, LIFT = 5, 30.0, 3.0
+REMEMBER = 20_000
 K, BLOCK = 20, 64
 THRESHOLD = 0.7
 RESULT = "doc_id long, held_out boolean, score double, predicted int, neighbours array<long>, cosines array<double>"
@@ -76,6 +77,8 @@ class Index:
         for b in np.argsort(-bounds, kind="stable").tolist():
             if bounds[b] <= 0 or len(heap) == k and bounds[b] < heap[0][0] - 1e-9:
                 break
+            if len(heap) == k and bounds[b] < heap[0][0] + 1e-12 and b * BLOCK > -heap[0][1]:
+                continue  # it could only tie, with larger ids
             score = np.zeros(min(BLOCK, len(self.ids) - b * BLOCK))
             for t, w in zip(terms.tolist(), weights.tolist()):
                 i, j = self.starts[t, b], self.starts[t, b + 1]
@@ -107,7 +110,7 @@ def build(ids: np.ndarray, texts: pa.Array, toxic: np.ndarray, stands_for: np.nd
     p = float(toxic.sum())
     b, c, d = df - a, p - a, n - p - (df - a)
     chi = n * (a * d - b * c) ** 2 / np.maximum(1.0, (a + b) * (c + d) * (a + c) * (b + d))
-    chosen = np.flatnonzero((df >= MIN_DF) & (chi >= CHI) & (a * n > df * p))
+    chosen = np.flatnonzero((df >= MIN_DF) & (chi >= CHI) & (a * (n - p) >= LIFT * b * p))
     number = np.full(len(names), -1)
     number[chosen] = np.arange(len(chosen))
     idf = np.log(1 + n / df[chosen]) if len(chosen) else np.zeros(0)
@@ -151,13 +154,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Index:
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
+        known: dict[bytes, list[tuple[float, int]]] = {}  # texts with the same terms have the same neighbours
         for part in pieces(batches, "text"):
             doc, term, counts, _ = term_counts(part.column("text"), index.terms)
             score = np.full(part.num_rows, index.without)
             near, cosines = [np.zeros(0, np.int64)] * part.num_rows, [np.zeros(0)] * part.num_rows
             first = np.flatnonzero(np.diff(doc, prepend=-1))
+            if len(known) > REMEMBER:
+                known.clear()
             for a, b in zip(first.tolist(), np.append(first[1:], len(doc)).tolist()):
-                found = index.nearest(term[a:b], index.vector(term[a:b], counts[a:b]))
+                key = term[a:b].tobytes() + counts[a:b].tobytes()
+                if (found := known.get(key)) is None:
+                    found = known[key] = index.nearest(term[a:b], index.vector(term[a:b], counts[a:b]))
                 i = int(doc[a])
                 score[i] = index.score(found)
                 near[i], cosines[i] = index.ids[[e for _, e in found]], np.array([c for c, _ in found])
