@@ -54,10 +54,13 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/marklake-{tag}-{uuid.uuid4().hex[:12]}"
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
+def cut(df: DataFrame, tag: str, files: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and reread it: lineage ends there, so a lost executor costs no
-    recomputation of what stands above, and Python stages run once however often the result is used."""
+    recomputation of what stands above, and Python stages run once however often the result is used.
+    ``files``: at most so many, where the number of rows is known beforehand to suit them; a shuffle of a
+    small table would otherwise leave a file for each of its partitions."""
     path = shared_path(df.sparkSession, tag)
+    df = df if files is None else df.coalesce(max(1, files))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
