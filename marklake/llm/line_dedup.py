@@ -251,9 +251,10 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
 def drop_duplicate_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the texts that are left, n_lines (before) and n_dropped."""
     docs = docs.drop("n_lines", "n_dropped")
-    found = cut(duplicate_lines(docs), "lines")
+    files = -(-docs.count() // 10_000)
+    found = cut(duplicate_lines(docs), "lines", files)
     wanted = found.filter("near").groupBy(F.col("l_doc").alias("__doc")).agg(F.collect_set("l_line").alias("wanted"))
-    wanted = cut(wanted, "wanted")
+    wanted = cut(wanted, "wanted", files)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("__doc"))
     earlier = texts.select("doc_id", "text", "wanted").mapInArrow(_fetch, "l_doc long, l_line int, l_text string").dropDuplicates(["l_doc", "l_line"])
     near = found.filter("near").join(earlier, ["l_doc", "l_line"], "left").select("doc_id", "line_no", "near", "l_text")
