@@ -33,7 +33,7 @@ def partial_ratio(a: str, b: str) -> float:
     for i, ch in enumerate(s):
         places[ch] = places.get(ch, 0) | 1 << i
     best = 0.0
-    for end in range(1, m + n):
+    for end in sorted(range(1, m + n), key=lambda e: -min(e, m) + max(0, e - n)):  # long windows first: they bound the short ones
         start, stop = max(0, end - n), min(end, m)
         # A window that begins or ends on a character foreign to s is no better than one without it.
         if (stop == end and t[stop - 1] not in places) or (stop < end and t[start] not in places):

@@ -17,7 +17,10 @@ from marklake.shipping import ship
 
 
 def _pair_ratios(answer: pd.Series, variant: pd.Series, expansions: pd.Series) -> pd.DataFrame:
-    rows = [(partial_ratio(a, v), max((partial_ratio(a, e) for e in es), default=0.0)) for a, v, es in zip(answer, variant, expansions)]
+    rows = []
+    for a, v, others in zip(answer, variant, expansions):
+        pr = partial_ratio(a, v)
+        rows.append((pr, max((pr if e == v else partial_ratio(a, e) for e in others), default=0.0)))
     return pd.DataFrame(rows, columns=["pr", "expansion_pr"], dtype="float64")
 
 

@@ -6,6 +6,7 @@ only place with a Python stage; the scores are aggregates over it, joined back t
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -126,21 +127,26 @@ def score_answers(spark: SparkSession, answers: DataFrame, questions: DataFrame,
     ev = evidence(known.join(expansions_of(spark, targets), "question_id"))
     by = [*KEY, "role", "target_pos", "concept"]
 
-    def best(of: DataFrame, limits: tuple[int, int]) -> DataFrame:
-        d = of.withColumn("d", decide(*limits))
-        top = F.max(F.struct(F.col("d.score"), -F.col("variant_pos"), F.col("d.method").alias("method")))
-        return d.groupBy(*by).agg(F.max("weight").alias("weight"), F.bool_or("d.ok").alias("ok"), F.max("d.score").alias("best"), top.alias("top"), F.bool_or("negated").alias("negated"))
+    limits = F.when(F.col("role") == "accepted", decide(*CLOSED)).when(F.col("role").isin("left", "right"), decide(*MATCHING)).otherwise(decide(*OPEN))
+    # One row for each target: all the families below read this, so the evidence is computed once.
+    best = ev.withColumn("d", limits).groupBy(*by).agg(F.max("weight").alias("weight"), F.bool_or("d.ok").alias("ok"), F.max("d.score").alias("best"), F.bool_or("negated").alias("negated"))
+    best = best.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def of(role: str, value: Column) -> Column:
+        return F.when(F.col("role") == role, value)
 
     one = F.when(F.col("ok"), 1).otherwise(0)
-    closed = best(ev.filter("role = 'accepted'"), CLOSED).groupBy(*KEY).agg(F.min(F.when(F.col("ok"), F.struct("target_pos", "best"))).alias("hit"), F.max("best").alias("any"))
-    closed = closed.select(*KEY, F.when(F.col("hit").isNotNull(), 1.0).otherwise(0.0).alias("closed_ratio"), (F.coalesce("hit.best", "any") / F.lit(100.0)).alias("closed_confidence"))
-    listed = best(ev.filter("role = 'item'"), OPEN).groupBy(*KEY).agg(F.countDistinct(F.when(F.col("ok"), F.col("concept"))).alias("hits"), F.count("*").alias("n_items"))
-    sides = best(ev.filter("role in ('left', 'right')"), MATCHING).groupBy(*KEY, "target_pos").agg(F.sum(one).alias("ok"), F.max("weight").alias("weight"))
+    flat = best.groupBy(*KEY).agg(
+        F.min(F.when(F.col("ok"), of("accepted", F.struct("target_pos", "best")))).alias("hit"), F.max(of("accepted", F.col("best"))).alias("any"),
+        F.countDistinct(F.when(F.col("ok"), of("item", F.col("concept")))).alias("hits"), F.count(of("item", F.lit(1))).alias("n_items"),
+        F.bool_or(of("support", F.col("ok"))).alias("support_hit"), F.max(of("support", F.col("best"))).alias("support_best"),
+    )
+    flat = flat.withColumn("closed_ratio", F.when(F.col("hit").isNotNull(), 1.0).otherwise(0.0)).withColumn("closed_confidence", F.coalesce("hit.best", "any") / F.lit(100.0)).drop("hit", "any")
+    sides = best.filter("role in ('left', 'right')").groupBy(*KEY, "target_pos").agg(F.sum(one).alias("ok"), F.max("weight").alias("weight"))
     paired = sides.groupBy(*KEY).agg(F.sum(F.when(F.col("ok") == 2, F.col("weight")).otherwise(0.0)).alias("pair_weight"))
-    helped = best(ev.filter("role = 'support'"), OPEN).groupBy(*KEY).agg(F.bool_or("ok").alias("support_hit"), F.max("best").alias("support_best"))
 
     wrong = diagnose.contradictions(spark, known.select(*KEY), targets).withColumn("contradicted", F.lit(True))
-    crit = best(ev.filter("role = 'criterion'"), OPEN).join(wrong.select(*KEY, "concept", "contradicted").distinct(), [*KEY, "concept"], "left")
+    crit = best.filter("role = 'criterion'").join(wrong.select(*KEY, "concept", "contradicted").distinct(), [*KEY, "concept"], "left")
     crit = crit.withColumn("contradicted", F.coalesce("contradicted", F.lit(False)))
     crit = crit.withColumn("best", F.when(F.col("contradicted"), F.least(F.col("best"), F.lit(42))).otherwise(F.col("best"))).withColumn("ok", F.col("ok") & ~F.col("contradicted"))
     shares = criterion_weights(targets.filter("role = 'criterion'").select("question_id", "target_pos", "concept").distinct().join(q.select("question_id", "prompt"), "question_id")).select("question_id", "target_pos", "share")
@@ -154,7 +160,7 @@ def score_answers(spark: SparkSession, answers: DataFrame, questions: DataFrame,
         F.sum(F.when(F.col("ok"), F.col("w")).otherwise(0.0)).alias("gained"), F.sum(F.col("w") * F.col("factor")).alias("half"), F.avg("shown").alias("shown"),
         F.sum(F.when(F.col("contradicted"), 1).otherwise(0)).alias("contradictions"), F.count("*").alias("concepts"),
     )
-    s = known.join(closed, KEY, "left").join(listed, KEY, "left").join(paired, KEY, "left").join(helped, KEY, "left").join(per, KEY, "left")
+    s = known.join(flat, KEY, "left").join(paired, KEY, "left").join(per, KEY, "left")
     zero = {c: 0 for c in ("hits", "n_items", "matched", "partial", "near", "contradictions", "concepts", "support_best")}
     s = s.fillna(zero | {c: 0.0 for c in ("closed_ratio", "closed_confidence", "pair_weight", "gained", "half", "shown")} | {"support_hit": False})
 
