@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marklake.operators import ocr, vision
+from marklake.operators import capture, ocr, vision
 from marklake.operators.insight import rounded
 from marklake.sources import responses, rubric
 from marklake.streaming import sessions
@@ -166,6 +166,31 @@ def rubric_integrity(s, d):
     return rubric.integrity_issues(rubric.from_table(_flat_rubric(s, d)))
 
 
+def upload_guard(s, d):
+    """Pages as uploads: their lengths and made-up kinds."""
+    k = F.col("page_id")
+    suffix = F.element_at(F.array(*[F.lit(x) for x in (".jpg", ".PNG", ".gif", "")]), (k % 4 + 1).cast("int"))
+    f = READ(s, d, "pages").select("page_id", F.concat(F.lit("/up/"), k.cast("string"), suffix).alias("path"), F.when(k % 7 == 0, 0).otherwise(F.length("html") * 5000).cast("long").alias("length"))
+    return capture.guard(f).select("page_id", F.coalesce("rejected", F.lit("accepted")).alias("outcome"))
+
+
+def edited_answers(s, d):
+    """Turns as segments; every third was edited, every fifth to nothing."""
+    c = READ(s, d, "conversations").select("conv_id", "turn", F.col("text").alias("segment"), "role")
+    e = c.filter("turn % 3 = 0").select("conv_id", "turn", F.when(F.col("turn") % 5 == 0, "  ").otherwise(F.concat(F.lit(" fixed "), "role")).alias("answer"))
+    return capture.edited_answers(c.drop("role"), e, ["conv_id", "turn"])
+
+
+def student_gate(s, d):
+    c = READ(s, d, "conversations").select("conv_id", F.when(F.col("conv_id") % 4 == 0, " ").otherwise(F.col("text")).alias("answer"))
+    return capture.student_gate(c, "conv_id")
+
+
+def class_average(s, d):
+    r = READ(s, d, "orders").select((F.col("o_totalprice") / 5000.0).alias("percent"), F.when(F.col("o_orderkey") % 9 == 0, "no answers").alias("error"))
+    return capture.class_average(r)
+
+
 _BOX = """x AS (SELECT CAST(floor(p_partkey / 10) AS BIGINT) AS photo_id, p_partkey AS box_id, CAST(p_partkey * 37 % 60 AS DOUBLE) AS x, CAST(p_partkey * 53 % 60 AS DOUBLE) AS y,
   CAST(p_size + p_partkey % 7 * 8 + 5 AS DOUBLE) AS w, CAST(p_size + p_partkey % 5 * 9 + 5 AS DOUBLE) AS h FROM part)"""
 _BOTH = "(greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)))"
@@ -175,6 +200,7 @@ _FLAT = """f AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 10 = 9 THEN 'P
 QUERIES = {f.__name__: f for f in (
     box_iou, box_containment, box_suppression, visual_rows, page_chunking, page_groups, corner_order, photo_quality_score, ocr_state_band, ocr_router_coalesce, ocr_lines, joined_pages,
     segment_by_markers, segment_documents, session_ttl_active, session_first_use, windowed_statistics, streaming_item_stats, answers_unpivot, rubric_questions, rubric_integrity,
+    upload_guard, edited_answers, student_gate, class_average,
 )}
 ORACLE_SQL = {
     "box_iou": f"WITH {_BOX} SELECT a.box_id AS one, b.box_id AS other, round({_BOTH} / (a.w * a.h + b.w * b.h - {_BOTH}) + 1e-9::DOUBLE, 4) AS iou, round({_BOTH} / (b.w * b.h) + 1e-9::DOUBLE, 4) AS contained FROM x a JOIN x b ON a.photo_id = b.photo_id AND a.box_id < b.box_id",
@@ -207,6 +233,10 @@ l AS (SELECT doc_id, floor(pos / 10) AS line, string_agg(t, ' ' ORDER BY pos) AS
 UNION ALL SELECT CAST(c_custkey AS VARCHAR), c_name, 'P2', 'Pregunta 2', CAST(c_nationkey AS VARCHAR) FROM customer UNION ALL SELECT CAST(c_custkey AS VARCHAR), c_name, 'P3', 'item_3', CAST(CAST(round(c_acctbal, 0) AS BIGINT) AS VARCHAR) FROM customer""",
     "rubric_questions": f"""WITH {_FLAT} SELECT id, item_type, max_score, CAST(CASE WHEN bare OR k % 5 IN (2, 3) THEN 0 ELSE 2 END AS BIGINT) AS accepted, CAST(CASE WHEN bare OR k % 5 <> 2 THEN 0 ELSE 2 END AS BIGINT) AS n_criteria,
   CAST(CASE WHEN bare OR k % 5 <> 3 THEN 0 ELSE 2 END AS BIGINT) AS n_pairs FROM f""",
+    "upload_guard": """SELECT page_id, CASE WHEN page_id % 4 > 1 THEN 'kind' WHEN page_id % 7 = 0 THEN 'empty' WHEN length(html) * 5000 > 20971520 THEN 'too large' ELSE 'accepted' END AS outcome FROM pages""",
+    "edited_answers": "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 AND turn % 5 <> 0 THEN 'fixed ' || role ELSE text END AS answer, turn % 3 = 0 AND turn % 5 <> 0 AS direct FROM conversations",
+    "student_gate": "SELECT conv_id, bool_or(conv_id % 4 <> 0 AND trim(text) <> '') AS answered, CASE WHEN NOT bool_or(conv_id % 4 <> 0 AND trim(text) <> '') THEN 'no answers' END AS error FROM conversations GROUP BY conv_id",
+    "class_average": "SELECT round(avg(CASE WHEN o_orderkey % 9 <> 0 THEN o_totalprice / 5000.0::DOUBLE END) + 1e-9::DOUBLE, 2) AS average, CAST(sum(CAST(o_orderkey % 9 <> 0 AS INTEGER)) AS BIGINT) AS valid, CAST(sum(CAST(o_orderkey % 9 = 0 AS INTEGER)) AS BIGINT) AS failed FROM orders",
     "rubric_integrity": f"""WITH {_FLAT}, c AS (SELECT *, count(*) OVER (PARTITION BY id) AS copies FROM f) SELECT id, 'repeated id' AS issue FROM c WHERE copies > 1 UNION ALL SELECT id, 'max_score is not positive' FROM c WHERE max_score <= 0
 UNION ALL SELECT id, CASE item_type WHEN 'criteria' THEN 'open question without criteria and answers' WHEN 'classification_matching' THEN 'matching question without pairs' ELSE 'closed question without accepted answers' END FROM c WHERE bare""",
 }

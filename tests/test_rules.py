@@ -181,3 +181,36 @@ def test_pixels(spark):
     rows = [("x", 4, 4, 3, bytearray(b"\xff" * 48)), ("y", 4, 4, 1, bytearray(range(0, 160, 10)))]
     got = vision.pixel_measures(spark.createDataFrame(rows, "origin string, height int, width int, nChannels int, data binary")).orderBy("origin").collect()
     assert got[0].blur == pytest.approx(0) and got[0].bright_ratio == 1.0 and got[1].brightness == pytest.approx(75.0)
+
+
+def test_sql_names(spark):
+    from marklake.functions.register import register
+
+    register(spark)
+    r = spark.sql("SELECT normalize_text(' Vía  LÁCTEA! ') AS n, semantic_tokens('La gravedad y el Sol') AS t, partial_ratio('abcd', 'abxd') AS p").first()
+    assert (r.n, r.t, r.p) == ("via lactea", ["gravedad", "sol"], pytest.approx(75.0))
+    got = spark.sql("SELECT * FROM segment_document('P1: uno\\nP2: dos', array('P1', 'P2'))").collect()
+    assert {x.question_id: x.segment for x in got} == {"P1": "uno", "P2": "dos"}
+
+
+def test_capture_hooks(spark):
+    from marklake.operators import capture
+
+    files = spark.createDataFrame([("a.png", bytearray(b"x")), ("b.png", bytearray(b""))], "path string, content binary")
+
+    def engine(content):
+        if not content:
+            raise ValueError("nothing")
+        return "text", 0.9
+
+    got = {r.path: r for r in capture.recognize(files, "local", engine).collect()}
+    assert got["a.png"].text == "text" and got["b.png"].message.startswith("ValueError")
+    vectors = capture.encode(spark.createDataFrame([("a",), ("a",), ("",), ("bb",)], "norm string"), lambda texts: [[len(t), 1] for t in texts]).collect()
+    assert {r.norm: r.vector for r in vectors} == {"a": [1.0, 1.0], "bb": [2.0, 1.0]}
+
+
+def test_sessions_once(spark):
+    from marklake.streaming import sessions
+
+    df = spark.createDataFrame([("a", 2), ("a", 1), ("b", 5)], "token string, at int")
+    assert sorted((r.token, r["at"]) for r in sessions.first_use(df, "token", "at").collect()) == [("a", 1), ("b", 5)]
