@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, pieces, raw, ship, table
+from .common import claim, cut, fresh, pieces, raw, ship, table
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -40,6 +40,7 @@ TURNS = 12
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("mixing")
     for part in pieces(batches, "text"):
         size = np.array([len(t.split()) if t else 0 for t in raw(part.column("text"))], np.int64)
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), part.column("h"), pa.array(size)], ["doc_id", "source", "h", "size"])
@@ -97,12 +98,20 @@ def land(p: np.ndarray, s: np.ndarray) -> np.ndarray:
     out[open_] = best[1]
     over = float((p * s).sum() - (out * s).sum())
     for _ in range(TURNS):
-        gain = np.where(out > 0, -s, s)
-        i = int(np.abs(over - gain).argmin())
-        if abs(over - gain[i]) >= abs(over):
+        gain = np.where(out > 0, -s, s).astype(float)
+        turn = [int(np.abs(over - gain).argmin())]
+        if len(gain) > 1:  # or two at once: for each the one nearest to what it leaves
+            order = np.argsort(gain, kind="stable")
+            near = np.clip(np.searchsorted(gain[order], over - gain)[:, None] + np.arange(-2, 2), 0, len(gain) - 1)
+            left = np.where(order[near] == np.arange(len(gain))[:, None], np.inf, np.abs(over - gain[:, None] - gain[order[near]]))
+            i, j = np.unravel_index(int(left.argmin()), left.shape)
+            if left[i, j] < abs(over - gain[turn[0]]):
+                turn = [int(i), int(order[near[i, j]])]
+        rest = over - float(gain[turn].sum())
+        if abs(rest) >= abs(over):
             break
-        out[i] = 1 - out[i]
-        over -= float(gain[i])
+        out[turn] = 1 - out[turn]
+        over = rest
     return out
 
 
@@ -124,7 +133,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     per = sizes.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
     per = per.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
-    per = cut(per.withColumn("weight", weight), "sources")
+    per = cut(per.withColumn("weight", weight), "sources", 1)  # a row for each source
     total = float(per.agg(F.sum("source_size")).first()[0] or 0)
     share, was = 0.0, -1
     # Each round stops more sources; with none above its bound, the shares are final.
@@ -150,19 +159,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
 
 def take(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 7) -> DataFrame:
     """The rows of the mix, with all columns of ``docs``: each as often as it is taken."""
-    same = Window.partitionBy("__id", "__h").orderBy(F.lit(0))
-    mine = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__h", F.xxhash64("text")).withColumn("__n", F.row_number().over(same))
-    units = mix(docs, weights, most, seed).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("copies").cast("int").alias("__copies"))
-    units = units.withColumn("__n", F.row_number().over(same)).filter("__copies > 0").alias("u")
-    mine = mine.alias("d")
-    rows = mine.join(units, F.col("d.__id").eqNullSafe(F.col("u.__id")) & (F.col("d.__h") == F.col("u.__h")) & (F.col("d.__n") == F.col("u.__n")))
-    return rows.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("u.__copies"))).alias("__copy")).drop("__copy")
+    i, h, n, times, copy = fresh(docs.columns, "__id", "__h", "__n", "__times", "__copy")
+    same = Window.partitionBy(i, h).orderBy(F.lit(0))  # tells equal rows of an id apart
+    mine = docs.withColumn(i, F.col("doc_id").cast("long")).withColumn(h, F.xxhash64("text")).withColumn(n, F.row_number().over(same)).alias("d")
+    units = mix(docs, weights, most, seed).select(F.col("doc_id").alias(i), F.col("h").alias(h), F.col("copies").cast("int").alias(times))
+    units = units.withColumn(n, F.row_number().over(same)).filter(F.col(times) > 0).alias("u")
+    rows = mine.join(units, F.col(f"d.{i}").eqNullSafe(F.col(f"u.{i}")) & (F.col(f"d.{h}") == F.col(f"u.{h}")) & (F.col(f"d.{n}") == F.col(f"u.{n}")))
+    return rows.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col(f"u.{times}"))).alias(copy)).drop(copy)
 
 
 def _mixed(sizes: DataFrame, weights: tuple[float, ...], most: float, seed: int) -> DataFrame:
     sizes = cut(sizes.withColumn("unit", F.monotonically_increasing_id()), "sizes")
     goal = targets(sizes, weights, most)
-    largest = goal.agg(F.max("n")).first()[0] or 0
+    largest, files = goal.agg(F.max("n"), F.ceil(F.sum("n") / 50_000)).first()
+    largest = largest or 0
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     units = sizes.join(goal, sizes.source.eqNullSafe(goal.source)).select(
         "unit", "doc_id", "h", sizes.source, "size", "rank", "n", "source_size", "target", F.floor(rate).alias("base"), (rate - F.floor(rate)).alias("p")
@@ -173,7 +183,7 @@ def _mixed(sizes: DataFrame, weights: tuple[float, ...], most: float, seed: int)
     level, done = 0, []
     fly = units.filter((F.col("p") > EPS) & (F.col("p") < 1 - EPS)).select("unit", "doc_id", "size", "rank", block.alias("block"), "p")
     while True:
-        after = cut(fly.groupBy("rank", "block").applyInArrow(_fly(seed, level, blocks == 1), flown), "flight")
+        after = cut(fly.groupBy("rank", "block").applyInArrow(_fly(seed, level, blocks == 1), flown), "flight", files)
         open_ = (F.col("p") > EPS) & (F.col("p") < 1 - EPS)
         done.append(after.filter(~open_).select("unit", "p"))
         if blocks == 1:
