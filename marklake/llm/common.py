@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Give every executor this package, once for each Spark application."""
+    """Give every executor this package, once for each Spark application, and bound the Arrow batches of the
+    session: JVM and Python worker each hold one."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(str(spark.conf.get(limit)).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(limit, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -81,9 +91,33 @@ def raw(col: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return col.cast(kind).to_pylist()
 
 
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, clear: Callable[[], None] = lambda: None) -> None:
+    """Called where an operator's task begins: workers serve many operators, and what another one remembers
+    goes.  ``clear`` empties what this one will."""
+    for other in [k for k in _CACHES if k != owner]:
+        _CACHES.pop(other)()
+    _CACHES[owner] = clear
+
+
+def tidy() -> None:
+    """Give freed memory back to the system at a task's end; workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``limit`` bytes of ``column`` each (one row at least), which
     bounds what a Python worker holds whatever the length of the texts."""
+    yield from _pieces(batches, column, limit)
+    tidy()
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -107,6 +141,16 @@ def mod_of_id(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores before them as long as a column has them."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        out.append(n)
+    return out
+
+
 def lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     """A list column out of one array for each row."""
     ends = np.zeros(len(values) + 1, dtype=np.int32)

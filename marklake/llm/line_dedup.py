@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, pieces, raw, ship, table
+from .common import claim, cut, fresh, pieces, raw, ship, table
 from .words import U64, as_list, mix, sums, text_bytes
 
 MIN_WORDS, NEAR_WORDS, MIN_TOKENS = 5, 10, 4
@@ -130,6 +130,7 @@ def _lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("line_dedup")
     for part in pieces(batches, "text"):
         part = part.filter(pc.is_valid(part.column("doc_id")))
         if not part.num_rows:
@@ -215,18 +216,21 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(texts, pa.binary()).cast(pa.string())], ["l_doc", "l_line", "l_text"])
 
 
-def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in pieces(batches, "text"):
-        out, n_lines, n_dropped = [], [], []
-        for t, found in zip(raw(part.column("text")), part.column("__found").to_pylist()):
-            rows = t.split(b"\n") if t is not None else []
-            gone = {f["line_no"] for f in found or () if f["line_no"] < len(rows) and (not f["near"] or (f["l_text"] is not None and alike(rows[f["line_no"]], f["l_text"].encode())))}
-            out.append(b"\n".join(r for i, r in enumerate(rows) if i not in gone) if gone else t)
-            n_lines.append(len(rows))
-            n_dropped.append(len(gone))
-        columns = {n: part.column(n) for n in part.schema.names if n != "__found"}
-        columns |= {"text": pa.array(out, pa.binary()).cast(pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())}
-        yield pa.RecordBatch.from_pydict(columns)
+def _rewrite(lines: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, "text"):
+            out, n_lines, n_dropped = [], [], []
+            for t, found in zip(raw(part.column("text")), part.column(lines).to_pylist()):
+                rows = t.split(b"\n") if t is not None else []
+                gone = {f["line_no"] for f in found or () if f["line_no"] < len(rows) and (not f["near"] or (f["l_text"] is not None and alike(rows[f["line_no"]], f["l_text"].encode())))}
+                out.append(b"\n".join(r for i, r in enumerate(rows) if i not in gone) if gone else t)
+                n_lines.append(len(rows))
+                n_dropped.append(len(gone))
+            columns = {n: part.column(n) for n in part.schema.names if n != lines}
+            columns |= {"text": pa.array(out, pa.binary()).cast(pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return run
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
@@ -259,9 +263,10 @@ def drop_duplicate_lines(docs: DataFrame) -> DataFrame:
     earlier = texts.select("doc_id", "text", "wanted").mapInArrow(_fetch, "l_doc long, l_line int, l_text string").dropDuplicates(["l_doc", "l_line"])
     near = found.filter("near").join(earlier, ["l_doc", "l_line"], "left").select("doc_id", "line_no", "near", "l_text")
     every = found.filter("not near").select("doc_id", "line_no", "near", F.lit(None).cast("string").alias("l_text")).unionByName(near)
-    by_doc = every.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct("line_no", "near", "l_text")).alias("__found"))
+    doc, lines = fresh(docs.columns, "__doc", "__found")
+    by_doc = every.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list(F.struct("line_no", "near", "l_text")).alias(lines))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_lines long, n_dropped long"
-    return docs.join(by_doc, F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc").mapInArrow(_rewrite, schema)
+    return docs.join(by_doc, F.col("doc_id").cast("long") == F.col(doc), "left").drop(doc).mapInArrow(_rewrite(lines), schema)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

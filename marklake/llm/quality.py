@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, ship, table
+from .common import claim, pieces, ship, table
 from .words import U64, mix, sums, text_bytes
 
 SAMPLE = 1500
@@ -245,6 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
 
 def _judge(field: Field, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         for part in pieces(batches, "text"):
             x = measure(part.column("text"))
             label = viterbi(field, x.features, x.doc) if x.features.shape[1] == len(field.weights) else np.ones(len(x.doc), np.int8)

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import claim
 from .words import as_list
 
 END_ID = 1
@@ -133,6 +134,7 @@ _HELD: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     """The worker's encoder of a vocabulary file, kept between tasks."""
+    claim("tokens", _HELD.clear)
     if path not in _HELD:
         _HELD.clear()
         _HELD[path] = Encoder(path)
