@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import lists, pieces, ship, table
-from .tokens import encoder, vocabulary
+from .tokens import ENCODED_BYTES, encoder, vocabulary
 
 CAPACITY = 2048
 BLOCK = 4096
@@ -98,7 +98,7 @@ def _packer(path: str, capacity: int, with_ids: bool):
             row_ids.clear()
             return got
 
-        for part in pieces(batches, "text"):
+        for part in pieces(batches, "text", ENCODED_BYTES):
             flat, ends = enc.encode(part.column("text"))
             data, begin = flat.tobytes(), 0
             for doc, end in zip(part.column("doc_id").to_pylist(), ends.tolist(), strict=True):

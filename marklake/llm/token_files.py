@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import pieces, shared_path, ship, table
-from .tokens import encoder, vocabulary
+from .tokens import ENCODED_BYTES, encoder, vocabulary
 
 ROW = "doc_id long, block int, block_start long, n_tokens int, ids array<int>"
 STRIPE_BYTES = 16 << 20
@@ -34,7 +34,7 @@ INDEX_STRIDE = 2_000
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, done, enc = TaskContext.get().partitionId(), 0, encoder(path)
-        for part in pieces(batches, "text"):
+        for part in pieces(batches, "text", ENCODED_BYTES):
             flat, ends = enc.encode(part.column("text"))
             ends = np.concatenate([[0], ends])
             yield pa.RecordBatch.from_arrays(
