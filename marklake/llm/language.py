@@ -34,6 +34,7 @@ from .words import plain_words
 
 ORDER = 4
 SAMPLE = 300
+SALTS = 64
 TEMPER = 0.2
 REMEMBER = 200_000
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -110,9 +111,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Trees:
     """Trees from at most ``sample`` different texts of each language of ``docs`` (doc_id, text, lang)."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("h"))
     texts = known.groupBy("lang", "h").agg(F.min("doc_id").alias("doc_id"))
+    # The first of each of SALTS parts of a language, then of all: no task sees a whole language.
+    part = F.pmod("h", F.lit(SALTS))
+    some = texts.withColumn("n", F.row_number().over(Window.partitionBy("lang", part).orderBy("h"))).filter(F.col("n") <= sample)
     first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     # A bounded number of ids for each language comes to the driver, then their texts.
-    chosen = {r.doc_id for r in texts.withColumn("n", first).filter(F.col("n") <= sample).select("doc_id").collect()}
+    chosen = {r.doc_id for r in some.withColumn("n", first).filter(F.col("n") <= sample).select("doc_id").collect()}
     got = docs.filter(F.col("doc_id").isin(list(chosen))).select("text", "lang").toArrow() if chosen else None
     words: dict[str, Counter] = defaultdict(Counter)
     for t, lang in zip(got.column("text"), got.column("lang").to_pylist()) if got else ():
