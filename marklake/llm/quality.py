@@ -1,7 +1,7 @@
 """Operator 5, quality rules: line sequence labelling with a linear-chain conditional random field.
 
 Each line with a word is an item of its document's sequence, described by a dozen shares and lengths
-(symbols, capitals, digits, punctuation, word and line length, repeats).  Viterbi decoding marks the
+(symbols, capitals, digits, punctuation, word and line length, repeated words and lines).  Viterbi decoding marks the
 lines as content or boilerplate; a document is kept if at least ``SHARE`` of its words stand in content
 lines, and the base rules do not fail it.
 
@@ -47,6 +47,7 @@ class Field:
 
     weights: np.ndarray
     steps: np.ndarray  # [from, to]; 1 is content
+    prior: float = 0.0  # for content in the first line: how much commoner good documents are than in the sample
 
 
 def repeats(ids: np.ndarray, bounds: np.ndarray, n: int = 5) -> np.ndarray:
@@ -137,10 +138,15 @@ def measure(texts: pa.Array) -> Measured:
         tail = np.where(tail == 10, data[np.maximum(ends - 2, 0)], tail)
         stop = np.isin(tail, list(b".!?")).astype(float)
     length = np.log2(n + 1)
+    line_of = np.repeat(np.arange(len(n)), n)
+    echo = np.zeros(len(n))
+    if len(ids) > 1:  # words equal to the one before them
+        echo = np.bincount(line_of[1:], (ids[1:] == ids[:-1]) & (line_of[1:] == line_of[:-1]), len(n))
+    plain = (symbol <= 0.1 * n) & (upper <= 0.5 * letters) & (mark <= 0.6 * n) & (digit <= 0.3 * c) & (echo <= 0.1 * n) & ~again
     features = np.stack(
         [
             np.ones(len(n)), np.minimum(length / 8, 1), (n <= 3).astype(float), np.minimum(c / n / 12, 1.5), upper / letters, np.minimum(symbol / n, 1.5),
-            symbol / c, np.minimum(mark / n, 1.5), mark / c, digit / c, stop, again.astype(float), np.maximum(other, 0) / c, ((upper > 0.6 * letters) & (n > 2)).astype(float),
+            symbol / c, np.minimum(mark / n, 1.5), mark / c, digit / c, stop, again.astype(float), np.maximum(other, 0) / c, ((upper > 0.6 * letters) & (n > 2)).astype(float), plain.astype(float), echo / np.maximum(n, 1),
         ],
         axis=1,
     )
@@ -163,7 +169,7 @@ def viterbi(field: Field, features: np.ndarray, doc: np.ndarray) -> np.ndarray:
     first, count = first[order], count[order]
     gain = features @ field.weights
     score = np.zeros((len(first), 2))
-    score[:, 1] = gain[first]
+    score[:, 1] = gain[first] + field.prior
     back: list[np.ndarray] = []
     for t in range(1, int(count[0])):
         live = int(np.searchsorted(-count, -t, side="left"))
@@ -235,12 +241,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
         part = labels.filter(F.col("quality") == q).select("doc_id", "quality").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         chosen = part if chosen is None else chosen.unionByName(part)
     # At most 2 * sample rows are broadcast and collected.
+    rows = {r.quality: r["count"] for r in labels.filter(F.col("quality").isin(0, 1)).groupBy("quality").count().collect()}
     got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").toArrow()
     if not got.num_rows:
         return fit_field(np.zeros((0, 1)), np.zeros(0, np.int64), np.zeros(0, bool))
     text = got.column("text").combine_chunks()
     x = measure(text.chunk(0) if isinstance(text, pa.ChunkedArray) else text)
-    return fit_field(x.features, x.doc, (got.column("quality").to_numpy() == 1)[x.doc])
+    good = got.column("quality").to_numpy() == 1
+    field = fit_field(x.features, x.doc, good[x.doc])
+    if rows.keys() == {0, 1} and 0 < good.sum() < len(good):
+        field.prior = float(np.log(rows[1] / rows[0] / (good.sum() / (~good).sum())))
+    return field
 
 
 def _judge(field: Field, share: float):
