@@ -57,15 +57,14 @@ def tokens(norm: Arg) -> Column:
     return F.filter(F.split(col(norm), " "), lambda t: (F.length(t) > 2) & ~F.array_contains(stop, t))
 
 
+# A suffix within another stands after it in the list, so the first that fits is the longest: one expression
+# with the shortest prefix of five letters or more finds it.
+STEM = f"^(.{{5,}}?)(?:{'|'.join(SUFFIXES)})$"
+
+
 def stem(token: Arg) -> Column:
     """The token without the first suffix that fits and leaves more than four letters."""
-    token = col(token)
-    out = None
-    for s in SUFFIXES:
-        fits = F.endswith(token, F.lit(s)) & (F.length(token) > len(s) + 4)
-        cut = F.substring(token, F.lit(1), F.length(token) - len(s))
-        out = F.when(fits, cut) if out is None else out.when(fits, cut)
-    return out.otherwise(token)
+    return F.regexp_replace(col(token), STEM, "$1")
 
 
 def stems(token_array: Arg) -> Column:

@@ -103,12 +103,12 @@ def overlap_best_target(s, d):
 
 
 def contains_match(s, d):
-    """Passages whose first six words stand in a document, by equality of six-word windows instead of a scan
-    of all pairs."""
+    """Passages whose first six words stand in a document, by equality of hashes of six-word windows instead
+    of a scan of all pairs."""
     docs = READ(s, d, "documents").select("doc_id", text.words(text.normalize("text")).alias("w"))
-    windows = F.transform(F.sequence(F.lit(1), F.size("w") - 5), lambda i: F.array_join(F.slice("w", i, 6), " "))
+    windows = F.transform(F.sequence(F.lit(1), F.size("w") - 5), lambda i: F.xxhash64(F.slice("w", i, 6)))
     grams = docs.filter(F.size("w") >= 6).select("doc_id", F.explode(F.array_distinct(windows)).alias("head"))
-    heads = READ(s, d, "benchmark").select("item_id", F.array_join(F.slice(text.words(text.normalize("text")), 1, 6), " ").alias("head"))
+    heads = READ(s, d, "benchmark").select("item_id", F.xxhash64(F.slice(text.words(text.normalize("text")), 1, 6)).alias("head"))
     return grams.join(heads, "head").groupBy("item_id").agg(F.count("*").alias("documents"))
 
 

@@ -214,3 +214,8 @@ def test_sessions_once(spark):
 
     df = spark.createDataFrame([("a", 2), ("a", 1), ("b", 5)], "token string, at int")
     assert sorted((r.token, r["at"]) for r in sessions.first_use(df, "token", "at").collect()) == [("a", 1), ("b", 5)]
+
+
+def test_stem_takes_the_first_suffix_that_fits(spark):
+    made = [stem + a + b for stem in ("casa", "gravi", "abcdef") for a in ("", *lexicon.SUFFIXES) for b in ("", *lexicon.SUFFIXES)]
+    assert values(spark, text.stem("t"), *made) == [text.stem_py(t) for t in made]
