@@ -53,8 +53,7 @@ def words(norm: Arg) -> Column:
 
 def tokens(norm: Arg) -> Column:
     """Words of a normalized text that carry meaning: of three letters or more, no stopwords."""
-    stop = F.array(*[F.lit(s) for s in STOPWORDS])
-    return F.filter(F.split(col(norm), " "), lambda t: (F.length(t) > 2) & ~F.array_contains(stop, t))
+    return F.filter(F.split(col(norm), " "), lambda t: (F.length(t) > 2) & ~t.isin(STOPWORDS))
 
 
 # A suffix within another stands after it in the list, so the first that fits is the longest: one expression
