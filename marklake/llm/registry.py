@@ -17,4 +17,4 @@ QUERIES = {
     "op10_sharding": sharding.op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_top_products": ball_tree.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_near_dedup": near_dedup.SQL, "op7_top_products": ball_tree.SQL}

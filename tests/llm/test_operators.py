@@ -96,7 +96,10 @@ def brute_components(docs, percent=85):
 def test_near_duplicates(spark, sf_dir):
     docs = read(sf_dir, "documents")
     got = near_dedup.op1_near_dedup(spark, sf_dir).toPandas()
-    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got.itertuples()} == brute_components(zip(docs.doc_id, docs.text))
+    rows = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got.itertuples()}
+    assert rows == brute_components(zip(docs.doc_id, docs.text))
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    assert rows == {d: (n, c, k) for d, n, c, k in duckdb.sql(near_dedup.SQL).fetchall()}
 
 
 def test_a_group_around_the_bound(spark):
