@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marklake.operators import capture, ocr, vision
 from marklake.operators.insight import rounded
+from marklake.shipping import spread
 from marklake.sources import responses, rubric
 from marklake.streaming import sessions
 
@@ -88,7 +89,7 @@ def ocr_router_coalesce(s, d):
 
 def ocr_lines(s, d):
     """Words of documents as boxes, ten to a line, given out of order."""
-    w = READ(s, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "text"))
+    w = spread(READ(s, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "text"))
     w = w.select("doc_id", F.floor(F.col("pos") / 10).cast("int").alias("line_no"), (F.col("pos") % 10 * 7).cast("int").alias("left"), "text", (F.col("pos") % 11 * 10.0 - 10.0).alias("confidence")).repartition("text")
     t = ocr.page_text(ocr.lines(w, ["doc_id"], ["line_no"]), ["doc_id"], ["line_no"])
     return t.select("doc_id", F.md5("text").alias("digest"))

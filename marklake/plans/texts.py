@@ -13,11 +13,17 @@ from pyspark.sql.window import Window
 from marklake.functions import lexicon, text
 from marklake.operators import diagnose, match, scoring
 from marklake.operators.insight import rounded
+from marklake.shipping import spread
 from marklake.sources import rubric
 
 READ = lambda s, d, t: s.read.parquet(f"{d}/{t}.parquet")
 
 
+def documents(s: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The columns of documents that a query needs; its work on the texts goes to all cores."""
+    return spread(READ(s, d, "documents").select("doc_id", "text", *columns))
+
+
 def norm_sql(x: str) -> str:
     return f"trim(regexp_replace(regexp_replace(strip_accents(lower(trim(coalesce({x}, '')))), '[^a-z0-9\\s/._-]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
@@ -75,16 +81,16 @@ def pairs(s: SparkSession, d: str) -> DataFrame:
 
 
 def normalize_text(s, d):
-    return READ(s, d, "documents").select("doc_id", text.normalize("text").alias("n")).select("doc_id", F.length("n").alias("length"), F.md5("n").alias("digest"))
+    return documents(s, d).select("doc_id", text.normalize("text").alias("n")).select("doc_id", F.length("n").alias("length"), F.md5("n").alias("digest"))
 
 
 def semantic_tokens(s, d):
-    t = READ(s, d, "documents").select("doc_id", text.tokens(text.normalize("text")).alias("t"))
+    t = documents(s, d).select("doc_id", text.tokens(text.normalize("text")).alias("t"))
     return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
 def stem_tokens(s, d):
-    t = READ(s, d, "documents").select("doc_id", text.stems(text.tokens(text.normalize("text"))).alias("t"))
+    t = documents(s, d).select("doc_id", text.stems(text.tokens(text.normalize("text"))).alias("t"))
     return t.select("doc_id", F.md5(F.array_join("t", " ")).alias("digest"))
 
 
@@ -105,7 +111,7 @@ def overlap_best_target(s, d):
 def contains_match(s, d):
     """Passages whose first six words stand in a document, by equality of hashes of six-word windows instead
     of a scan of all pairs."""
-    docs = READ(s, d, "documents").select("doc_id", text.words(text.normalize("text")).alias("w"))
+    docs = documents(s, d).select("doc_id", text.words(text.normalize("text")).alias("w"))
     windows = F.transform(F.sequence(F.lit(1), F.size("w") - 5), lambda i: F.xxhash64(F.slice("w", i, 6)))
     grams = docs.filter(F.size("w") >= 6).select("doc_id", F.explode(F.array_distinct(windows)).alias("head"))
     heads = READ(s, d, "benchmark").select("item_id", F.xxhash64(F.slice(text.words(text.normalize("text")), 1, 6)).alias("head"))
@@ -128,27 +134,27 @@ def truefalse_score(s, d):
 
 def negation_window(s, d):
     """Spanish documents that negate one of their first three meaningful words."""
-    t = READ(s, d, "documents").filter("lang = 'es'").select("doc_id", text.normalize("text").alias("n"))
+    t = documents(s, d, "lang").filter("lang = 'es'").select("doc_id", text.normalize("text").alias("n"))
     t = t.withColumn("stems", F.array_distinct(F.slice(text.stems(text.tokens("n")), 1, 3)))
     return t.select("doc_id", text.negated("n", F.col("stems")).alias("negated"))
 
 
 def relation_labels(s, d):
-    n = READ(s, d, "documents").select("doc_id", text.normalize("text").alias("n"))
+    n = documents(s, d).select("doc_id", text.normalize("text").alias("n"))
     found = text.labels("n", lexicon.RELATIONS, lexicon.MORE_RELATIONS)
     return n.select("doc_id", F.array_join(found, ",").alias("relations"), F.size(found).cast("long").alias("n_relations"))
 
 
 def contradiction_flags(s, d):
     """A made-up contradiction, told of every document: that its second word is its fifth."""
-    n = READ(s, d, "documents").select("doc_id", text.normalize("text").alias("n")).withColumn("w", text.words("n")).filter(F.size("w") >= 5)
+    n = documents(s, d).select("doc_id", text.normalize("text").alias("n")).withColumn("w", text.words("n")).filter(F.size("w") >= 5)
     n = n.withColumn("said", F.concat(F.get("w", F.lit(1)), F.when(F.col("doc_id") % 2 == 0, " es ").otherwise(" no es "), F.get("w", F.lit(4))))
     return n.select("doc_id", diagnose.wrong_relation(F.col("said"), F.get("w", F.lit(1)), F.get("w", F.lit(4))).alias("wrong"))
 
 
 def _graded(s, d):
     """Documents as answers, with counts that stand for concepts and relations."""
-    n = READ(s, d, "documents").select("doc_id", text.normalize("text").alias("n")).withColumn("tokens", text.tokens("n"))
+    n = documents(s, d).select("doc_id", text.normalize("text").alias("n")).withColumn("tokens", text.tokens("n"))
     rel = F.size(text.labels("n", lexicon.RELATIONS))
     return n.select("doc_id", "n", F.least(F.size("tokens"), F.lit(12)).alias("k"), F.col("doc_id") % 4 == 0, (F.col("doc_id") % 3).cast("int").alias("concepts"), rel.alias("relations"), text.length_profile(F.slice("tokens", 1, 12)).alias("profile"))
 
@@ -246,13 +252,13 @@ def cosine_topk(s, d):
 
 
 def dedupe_texts(s, d):
-    n = READ(s, d, "documents").select("doc_id", F.md5(text.normalize("text")).alias("digest"))
+    n = documents(s, d).select("doc_id", F.md5(text.normalize("text")).alias("digest"))
     return n.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
 def md5_cache_key(s, d):
     key = F.md5(F.concat_ws("||", "lang", "source", text.normalize("text")))
-    return READ(s, d, "documents").select("doc_id", key.alias("cache_key"), F.substring(key, 1, 12).alias("session_id"))
+    return documents(s, d, "lang", "source").select("doc_id", key.alias("cache_key"), F.substring(key, 1, 12).alias("session_id"))
 
 
 def slug(s, d):

@@ -1,4 +1,4 @@
-"""Getting this package to the executors."""
+"""Getting this package to the executors, and rows to all cores."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -26,3 +26,10 @@ def ship(spark: SparkSession) -> None:
                     z.write(path, os.path.join("marklake", os.path.relpath(path, root)))
     spark.sparkContext.addPyFile(out)
     _SHIPPED.add(app)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where a scan has fewer parts than there are: a small file of one row group is one
+    task otherwise.  Large tables have more parts than cores and stay as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
