@@ -97,7 +97,8 @@ def interpretation(items: DataFrame, students: DataFrame, rubric: str) -> DataFr
         F.sum(F.when(F.col("classification") == "needs review", 1).otherwise(0)).alias("problems"),
     )
     count = students.agg(F.countDistinct("student_id").alias("students"))
-    t = means.join(F.broadcast(count))  # one row each
+    both = means.unionByName(count, allowMissingColumns=True)  # a row each, folded into one
+    t = both.agg(*[F.max(c).alias(c) for c in ("p", "r", "c", "problems", "students")])
     text = F.format_string(
         f"{rubric}: %d students, %s performance, %.1f%% of the score on average, mean confidence %.2f, %.1f%% for manual review, %d items to revise.",
         "students", level(F.col("p")), rounded("p", 1), rounded("c", 2), rounded("r", 1), "problems",
