@@ -1,18 +1,17 @@
 """Operator 9, line deduplication by a deletion-neighbourhood join.
 
-A line of at least ``MIN_WORDS`` words goes if an earlier line, by (doc_id, line number), is equal to it or
-one token edit away (a token put in, taken out or replaced).  Words are compared without the case of A-Z.
-Tokens are words in lines of 10 to 19 words.  Longer lines are cut where the hash of a word says so, into
-about 4 to 10 tokens of several words: level c holds lines of 16 * 2^(c-1) to 40 * 2^(c-1) words and cuts
-after one word in 2^(c+1).  Levels overlap, so lines near a limit are in two; two lines are compared at the
-levels they share.  Shorter lines, and those of fewer than ``MIN_TOKENS`` tokens, must be equal.
-
-Each line emits a hash of its tokens, and one for each token left out, with that token's place.  Lines that
-meet under a key at the same place differ by a replacement, a whole line and a shortened one by a token put
-in: so within a key the earliest line decides, and no pairs are made.  Equal lines of one batch are folded
-before the shuffle, so a line that a third of the rows share emits its keys once for each batch.  The
-tokens of a line and of its earlier one are compared again in full before it is dropped, which rules out
-collisions of hashes.
+A line of at least ``MIN_WORDS`` words goes if an earlier line, by (doc_id, line number), is equal to it or, where
+both have ``NEAR_WORDS`` words or more, one word edit away (a word put in, taken out or replaced), whatever their
+length.  Words are compared without the case of A-Z.
+
+Two lines one word edit apart share either the words before the middle of the shorter one or those after it.  So
+each line first emits a hash of itself and one of each half, as the shorter and as the longer line of a pair: five
+keys, however long it is.  Only lines that share a half with a different line emit the deletion neighbourhood: a
+hash of all words, and one for each word left out, with that word's place.  Lines that meet under a key at the same
+place differ by a replacement, a whole line and a shortened one by a word put in: so within a key the earliest line
+decides, and no pairs are made.  Equal lines of one batch are folded before the shuffle, so a line that a third of
+the rows share emits its keys once for each batch, and of equal lines only the first has a neighbourhood.  A line
+and its earlier one are compared again in full, word by word, before it is dropped, which rules out collisions.
 
 Blank lines and lines of fewer than ``MIN_WORDS`` words stay, as do all lines of null ids; null texts stay
 null.  Rows that share an id count as one document.  An empty table gives no rows.  Columns other than
@@ -34,73 +33,54 @@ from pyspark.sql.window import Window
 from .common import claim, cut, fresh, pieces, raw, ship, table
 from .words import U64, as_list, mix, sums, text_bytes
 
-MIN_WORDS, NEAR_WORDS, MIN_TOKENS = 5, 10, 4
-WHOLE, KNOWN = -1, -2  # places: nothing left out; dropped already by an equal line of its batch
+MIN_WORDS, NEAR_WORDS = 5, 10
+HALF, WHOLE, KNOWN = 0, -1, -2  # places: half a line; nothing left out; dropped already by an equal line of its batch
 BASE = U64(0x9E3779B97F4A7C15)
 INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def levels(n: int) -> list[int]:
-    """Levels of a line of ``n`` words."""
-    out = [0] if NEAR_WORDS <= n < 20 else []
-    c = 1
-    while 16 << (c - 1) <= n:
-        if n < 40 << (c - 1):
-            out.append(c)
-        c += 1
-    return out
+def _powers(n: int, base: np.uint64 = BASE) -> np.ndarray:
+    out = np.ones(max(n, 1), U64)
+    out[1:] = base
+    return np.multiply.accumulate(out)
 
 
-def cuts(h: np.ndarray, level: int) -> np.ndarray:
-    """Whether a token ends after each word, by the words' hashes."""
-    return np.ones(len(h), bool) if level == 0 else (mix(h) & U64((2 << level) - 1)) == 0
+def _terms(h: np.ndarray, starts: np.ndarray, count: np.ndarray, powers: np.ndarray) -> np.ndarray:
+    """Terms of the lines' polynomial hashes, one for each word."""
+    return h * powers[np.arange(len(h)) - np.repeat(starts, count)]
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.ones(max(n, 1), U64)
-    out[1:] = BASE
-    return np.multiply.accumulate(out)
+def _key(value: np.ndarray, length: np.ndarray, tag: int = 0) -> np.ndarray:
+    return mix(value + length.astype(np.uint64) * U64(0xD6E8FEB86659FD93) + U64(tag * 0xA0761D6478BD642F % (1 << 64)))
 
 
-def _folded(values: np.ndarray, starts: np.ndarray, powers: np.ndarray) -> np.ndarray:
-    """Polynomial hashes of consecutive runs of values."""
-    if not len(starts):
-        return np.zeros(0, U64)
-    place = np.arange(len(values)) - np.repeat(starts, np.diff(np.append(starts, len(values))))
-    return np.add.reduceat(values * powers[place], starts)
-
-
-def keys_of(h: np.ndarray, starts: np.ndarray, level: int, powers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, key, place) of all keys of lines of word hashes ``h`` that begin at ``starts``."""
-    n = np.diff(np.append(starts, len(h)))
-    line = np.repeat(np.arange(len(starts)), n)
-    end = cuts(h, level)
-    end[starts + n - 1] = True
-    begin = np.concatenate([[0], np.flatnonzero(end)[:-1] + 1])
-    tokens = mix(_folded(h, begin, powers) + U64(level + 1))
-    owner = line[begin]
-    first = np.flatnonzero(np.diff(owner, prepend=-1))
-    count = np.diff(np.append(first, len(tokens)))
-    enough = count >= MIN_TOKENS
-    keep = np.repeat(enough, count)
-    owner, tokens, count = owner[keep], tokens[keep], count[enough]
-    if not len(count):
-        return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64)
-    first = np.cumsum(count) - count
-    place = np.arange(len(tokens)) - np.repeat(first, count)
-    term = tokens * powers[place]
-    upto = np.cumsum(term)
-    upto_before = upto - term - np.repeat((upto - term)[first], count)
-    total = np.add.reduceat(term, first)
-    short = upto_before + (np.repeat(total, count) - upto_before - term) * INVERSE
+def half_keys(upto: np.ndarray, starts: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) of the halves of lines, whose terms have the sums ``upto``: as the shorter line of a pair, and as
+    the one with a word more."""
+    inverse = _powers(int(count.max()) + 1, INVERSE)
+    line, key = [], []
+    for more in (0, 1):
+        at = np.flatnonzero(count - more >= NEAR_WORDS)
+        first, n, length = starts[at], count[at], count[at] - more
+        half = length // 2
+        rest = n - (length - half)
+        line += [at, at]
+        key += [_key(upto[first + half] - upto[first], length, 1), _key((upto[first + n] - upto[first + rest]) * inverse[rest], length, 2)]
+    return np.concatenate(line), np.concatenate(key)
 
-    def key(value: np.ndarray, length: np.ndarray) -> np.ndarray:
-        return mix(value + length.astype(np.uint64) * U64(0xD6E8FEB86659FD93) + U64(level * 0xA0761D6478BD642F % (1 << 64)))
 
+def deletion_keys(h: np.ndarray, starts: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, key, place) of the whole lines and of each word left out."""
+    term = _terms(h, starts, count, _powers(int(count.max()) + 1))
+    line = np.repeat(np.arange(len(starts)), count)
+    upto = np.cumsum(term)
+    before = upto - term - np.repeat((upto - term)[starts], count)
+    total = np.add.reduceat(term, starts)
+    short = before + (total[line] - before - term) * INVERSE
     return (
-        np.concatenate([owner[first], owner]),
-        np.concatenate([key(total, count), key(short, np.repeat(count, count) - 1)]),
-        np.concatenate([np.full(len(first), WHOLE), place]),
+        np.concatenate([np.arange(len(starts)), line]),
+        np.concatenate([_key(total, count), _key(short, count[line] - 1)]),
+        np.concatenate([np.full(len(starts), WHOLE), np.arange(len(h)) - starts[line]]),
     )
 
 
@@ -140,45 +120,35 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         long = np.flatnonzero(count >= MIN_WORDS)
         if not len(long):
             continue
-        powers = _powers(int(count.max()) + 1)
-
-        def words_of(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            n = count[chosen]
-            ends = np.cumsum(n)
-            at = np.arange(ends[-1]) + np.repeat(first[chosen] - (ends - n), n)
-            return h[at], ends - n
-
-        exact = mix(_folded(*words_of(long), powers) + count[long].astype(np.uint64))
-        order = np.lexsort((number[long], doc_id[long], exact))
+        upto = np.concatenate([np.zeros(1, U64), np.cumsum(_terms(h, first, count, _powers(int(count.max()) + 1)))])
+        exact = np.zeros(len(count), U64)
+        exact[long] = _key(upto[first[long] + count[long]] - upto[first[long]], count[long])
+        order = long[np.lexsort((number[long], doc_id[long], exact[long]))]
         same = np.concatenate([[False], exact[order][1:] == exact[order][:-1]])
-        again, fresh = long[order[same]], np.sort(long[order[~same]])
-        out = [(again, mix(doc_id[again].astype(np.uint64) * BASE + number[again].astype(np.uint64)), np.full(len(again), KNOWN))]
-        bare = np.ones(len(count), bool)  # lines without tokens to leave out
-        for level in range(0, int(count.max()).bit_length()):
-            low, high = (NEAR_WORDS, 20) if level == 0 else (16 << (level - 1), 40 << (level - 1))
-            chosen = fresh[(count[fresh] >= low) & (count[fresh] < high)]
-            if len(chosen):
-                line, key, place = keys_of(*words_of(chosen), level, powers)
-                out.append((chosen[line], key, place))
-                bare[chosen[line]] = False
-        short = fresh[bare[fresh]]
-        if len(short):
-            out.append((short, mix(mix(_folded(*words_of(short), powers) + count[short].astype(np.uint64)) ^ U64(0x5DEECE66D)), np.full(len(short), WHOLE)))
-        line, key, place = (np.concatenate(x) for x in zip(*out))
+        head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+        again = order[same & ((doc_id[order] != doc_id[head]) | (number[order] != number[head]))]
+        fresh = np.sort(order[~same])
+        half, key = half_keys(upto, first[fresh], count[fresh])
+        line = np.concatenate([again, fresh, fresh[half]])
+        keys = np.concatenate([mix(doc_id[again].astype(np.uint64) * BASE + number[again].astype(np.uint64)), exact[fresh], key])
+        place = np.repeat([KNOWN, WHOLE, HALF], [len(again), len(fresh), len(half)])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(key.view(np.int64)), pa.array(place.astype(np.int32)), pa.array(doc_id[line]), pa.array(number[line].astype(np.int32))],
-            ["key", "place", "doc_id", "line_no"],
+            [pa.array(keys.view(np.int64)), pa.array(place.astype(np.int32)), pa.array(exact[line].view(np.int64)), pa.array(doc_id[line]), pa.array(number[line].astype(np.int32))],
+            ["key", "place", "exact", "doc_id", "line_no"],
         )
 
 
-def tokens_of(words: list[bytes], level: int) -> list[tuple[bytes, ...]]:
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), U64, len(words))
-    out, a = [], 0
-    for i, end in enumerate(cuts(h, level).tolist()):
-        if end or i == len(words) - 1:
-            out.append(tuple(words[a : i + 1]))
-            a = i + 1
-    return out
+def _emit_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("line_dedup")
+    for part in pieces(batches, "l_text", 1 << 20):
+        h, first, count, (row, _) = _lines(part.column("l_text"))
+        if not len(count):
+            continue
+        line, key, place = deletion_keys(h, first, count)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key.view(np.int64)), pa.array(place.astype(np.int32)), part.column("l_doc").take(pa.array(row[line])), part.column("l_line").take(pa.array(row[line]))],
+            ["key", "place", "doc_id", "line_no"],
+        )
 
 
 def one_edit(x: list, y: list) -> bool:
@@ -192,15 +162,9 @@ def one_edit(x: list, y: list) -> bool:
 
 
 def alike(x: bytes, y: bytes) -> bool:
-    """Whether two lines are equal or one token edit apart at a level they share."""
+    """Whether two lines are equal or, if long enough, one word edit apart."""
     a, b = x.lower().split(), y.lower().split()
-    if a == b:
-        return True
-    for c in set(levels(len(a))) & set(levels(len(b))):
-        s, t = tokens_of(a, c), tokens_of(b, c)
-        if min(len(s), len(t)) >= MIN_TOKENS and one_edit(s, t):
-            return True
-    return False
+    return a == b or min(len(a), len(b)) >= NEAR_WORDS and one_edit(a, b)
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,36 +197,47 @@ def _rewrite(lines: str):
     return run
 
 
-def duplicate_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no of every line with an earlier match, the match (l_doc, l_line), and near: whether it
-    differs from the line."""
+def _found(docs: DataFrame, files: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines with an equal earlier one, lines with one a word edit away, and the texts of the latter's candidates."""
     ship(docs.sparkSession)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keys = ids.mapInArrow(_emit, "key long, place int, doc_id long, line_no int").withColumn("at", F.struct("doc_id", "line_no"))
-    whole, left_out = F.col("place") == WHOLE, F.col("place") >= 0
+    keys = ids.mapInArrow(_emit, "key long, place int, exact long, doc_id long, line_no int").withColumn("at", F.struct("doc_id", "line_no"))
+    by_key = Window.partitionBy("key")
+    keys = keys.withColumn("first", F.min("at").over(by_key)).withColumn("differ", F.min("exact").over(by_key) != F.max("exact").over(by_key))
+    equal = (F.col("place") == KNOWN) | (F.col("place") == WHOLE) & (F.col("first") < F.col("at"))
+    keys = keys.select("doc_id", "line_no", F.when(equal, F.col("first")).alias("first")).filter(equal | (F.col("place") == HALF) & F.col("differ"))
+    lines = cut(keys.groupBy("doc_id", "line_no").agg(F.min("first").alias("first")), "lines", files)
+    same = lines.filter("first is not null").select("doc_id", "line_no", F.lit(False).alias("near"), F.col("first.doc_id").alias("l_doc"), F.col("first.line_no").alias("l_line"))
+
+    wanted = lines.filter("first is null").groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list("line_no").alias("wanted"))
+    texts = ids.join(wanted, F.col("doc_id") == F.col("__doc")).select("doc_id", "text", "wanted")
+    texts = cut(texts.mapInArrow(_fetch, "l_doc long, l_line int, l_text string"), "texts", files)
+    keys = texts.mapInArrow(_emit_words, "key long, place int, doc_id long, line_no int").withColumn("at", F.struct("doc_id", "line_no"))
+    whole = F.col("place") == WHOLE
     keys = (
-        keys.withColumn("equal", F.min(F.when(whole, F.col("at"))).over(Window.partitionBy("key")))
-        .withColumn("any", F.min("at").over(Window.partitionBy("key")))
+        keys.withColumn("equal", F.min(F.when(whole, F.col("at"))).over(by_key))
+        .withColumn("any", F.min("at").over(by_key))
         .withColumn("same", F.min("at").over(Window.partitionBy("key", "place")))
     )
-    is_equal = (F.col("place") == KNOWN) | whole & (F.col("equal") < F.col("at"))
-    match = F.when(F.col("place") == KNOWN, F.col("at")).when(is_equal, F.col("equal")).when(left_out, F.least("same", "equal")).otherwise(F.col("any"))
-    found = keys.select("doc_id", "line_no", "place", "at", match.alias("match"), (~is_equal).alias("near")).filter((F.col("match") < F.col("at")) | (F.col("place") == KNOWN))
-    best = found.groupBy("doc_id", "line_no").agg(F.min(F.struct("near", "match")).alias("best"))
-    return best.select("doc_id", "line_no", "best.near", F.col("best.match.doc_id").alias("l_doc"), F.col("best.match.line_no").alias("l_line"))
+    match = F.when(whole, F.col("any")).otherwise(F.least("same", "equal"))
+    near = keys.select("doc_id", "line_no", "at", match.alias("match")).filter(F.col("match") < F.col("at")).groupBy("doc_id", "line_no").agg(F.min("match").alias("match"))
+    near = near.select("doc_id", "line_no", F.lit(True).alias("near"), F.col("match.doc_id").alias("l_doc"), F.col("match.line_no").alias("l_line"))
+    return same, near, texts
+
+
+def duplicate_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, line_no of every line with an earlier match, the match (l_doc, l_line), and near: whether it
+    differs from the line."""
+    same, near, _ = _found(docs)
+    return same.unionByName(near)
 
 
 def drop_duplicate_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the texts that are left, n_lines (before) and n_dropped."""
     docs = docs.drop("n_lines", "n_dropped")
-    files = -(-docs.count() // 10_000)
-    found = cut(duplicate_lines(docs), "lines", files)
-    wanted = found.filter("near").groupBy(F.col("l_doc").alias("__doc")).agg(F.collect_set("l_line").alias("wanted"))
-    wanted = cut(wanted, "wanted", files)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("__doc"))
-    earlier = texts.select("doc_id", "text", "wanted").mapInArrow(_fetch, "l_doc long, l_line int, l_text string").dropDuplicates(["l_doc", "l_line"])
-    near = found.filter("near").join(earlier, ["l_doc", "l_line"], "left").select("doc_id", "line_no", "near", "l_text")
-    every = found.filter("not near").select("doc_id", "line_no", "near", F.lit(None).cast("string").alias("l_text")).unionByName(near)
+    same, near, texts = _found(docs, -(-docs.count() // 10_000))
+    near = near.join(texts, ["l_doc", "l_line"]).select("doc_id", "line_no", "near", "l_text")
+    every = same.select("doc_id", "line_no", "near", F.lit(None).cast("string").alias("l_text")).unionByName(near)
     doc, lines = fresh(docs.columns, "__doc", "__found")
     by_doc = every.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list(F.struct("line_no", "near", "l_text")).alias(lines))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_lines long, n_dropped long"

@@ -388,6 +388,33 @@ def test_duplicate_lines(spark):
         assert left[d] == ("\n".join(keep), 4, 4 - len(keep))
 
 
+def word_edits(docs, shortest, near):
+    """Lines with an earlier line equal or one word edit away, of lines with so many words."""
+    lines = [(d, k, x.lower().split()) for d, t in sorted(docs) for k, x in enumerate(t.split("\n")) if len(x.split()) >= shortest]
+
+    def one(x, y):
+        x, y = sorted((x, y), key=len)
+        return len(y) - len(x) < 2 and any(x[:i] + x[i + len(x) + 1 - len(y) :] == y[:i] + y[i + 1 :] for i in range(len(y)))
+
+    return {(d, k) for i, (d, k, x) in enumerate(lines) if any(x == y or min(len(x), len(y)) >= near and one(x, y) for _, _, y in lines[:i])}
+
+
+@pytest.mark.parametrize("n", [12, 19, 20, 25, 41, 80, 150, 700])
+def test_every_word_edit_is_found(spark, n):
+    base = [f"w{n}x{i}" for i in range(n)]
+    rows = [(0, " ".join(base))]
+    for i in range(0, n, max(1, n // 40)):
+        other = [f"{i}y{w}" for w in base]  # a line of its own for each edit, so that only that edit can find it
+        for k, changed in enumerate((other[:i] + ["NEW"] + other[i + 1 :], other[:i] + other[i + 1 :], other[:i] + ["NEW"] + other[i:])):
+            mark = [f"{x}{k}" for x in changed]
+            rows += [(10 * i + 2 * k + 1, " ".join(f"{x}{k}" for x in other)), (10 * i + 2 * k + 2, " ".join(mark))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {(r.doc_id, r.line_no) for r in line_dedup.drop_duplicate_lines(df).filter("n_dropped = 1").selectExpr("doc_id", "0 AS line_no").collect()}
+    assert found == {(d, 0) for d, _ in rows if d and d % 2 == 0}
+    if n < 100:
+        assert found == word_edits(rows, 5, 10)
+
+
 def test_one_edit():
     brute = lambda x, y: any(x[:i] + x[i + 1 :] == y[:j] + y[j + 1 :] and i == j for i in range(len(x)) for j in range(len(y))) or any(x[:i] + x[i + 1 :] == y for i in range(len(x))) or any(y[:i] + y[i + 1 :] == x for i in range(len(y))) or x == y
     for n, m in itertools.product(range(4), repeat=2):
