@@ -415,6 +415,18 @@ def test_every_word_edit_is_found(spark, n):
         assert found == word_edits(rows, 5, 10)
 
 
+def test_lines_with_a_passage_of_their_own_stay(spark):
+    """Templated lines that differ in a passage, at each place and of each length from two words up."""
+    for n in (20, 40, 49, 100, 400):
+        base = [f"t{n}x{i}" for i in range(n)]
+        rows = [(0, " ".join(base))]
+        for k, size in enumerate((2, 3, 6, n // 3)):
+            rows += [(1000 * (k + 1) + at, " ".join(base[:at] + [f"own{k}p{at}q{i}" for i in range(size)] + base[at + size :])) for at in range(0, n - size, max(1, n // 25))]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = line_dedup.drop_duplicate_lines(df).filter("n_dropped > 0").collect()
+        assert not got, (n, got[0])
+
+
 def test_one_edit():
     brute = lambda x, y: any(x[:i] + x[i + 1 :] == y[:j] + y[j + 1 :] and i == j for i in range(len(x)) for j in range(len(y))) or any(x[:i] + x[i + 1 :] == y for i in range(len(x))) or any(y[:i] + y[i + 1 :] == x for i in range(len(y))) or x == y
     for n, m in itertools.product(range(4), repeat=2):
