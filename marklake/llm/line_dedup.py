@@ -2,7 +2,8 @@
 
 A line of at least ``MIN_WORDS`` words goes if an earlier line, by (doc_id, line number), is equal to it or, where
 both have ``NEAR_WORDS`` words or more, one word edit away (a word put in, taken out or replaced), whatever their
-length.  Words are compared without the case of A-Z.
+length.  Words are compared without the case of A-Z.  From ``NEAR_WORDS`` = 5 words up an edit leaves four fifths
+of the words or more; in shorter lines it would make another line ("Chapter 1", "Chapter 2"), so they must be equal.
 
 Two lines one word edit apart share either the words before the middle of the shorter one or those after it.  So
 each line first emits a hash of itself and one of each half, as the shorter and as the longer line of a pair: five
@@ -13,8 +14,7 @@ decides, and no pairs are made.  Equal lines of one batch are folded before the
 the rows share emits its keys once for each batch, and of equal lines only the first has a neighbourhood.  A line
 and its earlier one are compared again in full, word by word, before it is dropped, which rules out collisions.
 
-Blank lines and lines of fewer than ``MIN_WORDS`` words stay, as do all lines of null ids; null texts stay
-null.  Rows that share an id count as one document.  An empty table gives no rows.  Columns other than
+Blank lines stay, as do all lines of null ids; null texts stay null.  Rows that share an id count as one document.  An empty table gives no rows.  Columns other than
 text are passed through; ``n_lines`` and ``n_dropped`` are added (or replaced).
 """
 
@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 from .common import claim, cut, fresh, pieces, raw, ship, table
 from .words import U64, as_list, mix, sums, text_bytes
 
-MIN_WORDS, NEAR_WORDS = 5, 10
+MIN_WORDS, NEAR_WORDS = 1, 5
 HALF, WHOLE, KNOWN = 0, -1, -2  # places: half a line; nothing left out; dropped already by an equal line of its batch
 BASE = U64(0x9E3779B97F4A7C15)
 INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -211,7 +211,8 @@ def _found(docs: DataFrame, files: int | None = None) -> tuple[DataFrame, DataFr
 
     wanted = lines.filter("first is null").groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list("line_no").alias("wanted"))
     texts = ids.join(wanted, F.col("doc_id") == F.col("__doc")).select("doc_id", "text", "wanted")
-    texts = cut(texts.mapInArrow(_fetch, "l_doc long, l_line int, l_text string"), "texts", files)
+    # Not coalesced: a task would keep the sorted texts of all its partitions.
+    texts = cut(texts.mapInArrow(_fetch, "l_doc long, l_line int, l_text string"), "texts")
     keys = texts.mapInArrow(_emit_words, "key long, place int, doc_id long, line_no int").withColumn("at", F.struct("doc_id", "line_no"))
     whole = F.col("place") == WHOLE
     keys = (

@@ -427,6 +427,22 @@ def test_lines_with_a_passage_of_their_own_stay(spark):
         assert not got, (n, got[0])
 
 
+def test_short_lines(spark):
+    """Equal lines of any length and one-word edits from five words up; an exact copy leaves nothing in the pipeline."""
+    import corpus_pipeline as p
+
+    mixed = "Title\n\nA short line\nHere is a line of rather more than nine words in all\nsix words stand in this line\nEnd"
+    rows = [(1, mixed), (2, mixed), (3, mixed.upper()), (4, "A short lane\nTitles"), (5, "six words stood in this line\nsix words stand in line\nfour words of this\nfour words of that")]
+    rng = np.random.default_rng(4)
+    rows += [(6 + d, "\n".join(" ".join(rng.choice(list("abc"), n)) for n in rng.integers(1, 10, 12))) for d in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.line_no) for r in line_dedup.duplicate_lines(df).collect()}
+    assert found == word_edits(rows, 1, 5)
+    assert found >= {(2, k) for k in (0, 2, 3, 4, 5)} | {(5, 0), (5, 1)} and not found & {(4, 0), (4, 1), (5, 3)}
+    left = {r.doc_id: r.text for r in p.drop_lines(spark, df, None).collect()}
+    assert left[1] == mixed and left[4] == rows[3][1] and not {2, 3} & set(left)
+
+
 def test_one_edit():
     brute = lambda x, y: any(x[:i] + x[i + 1 :] == y[:j] + y[j + 1 :] and i == j for i in range(len(x)) for j in range(len(y))) or any(x[:i] + x[i + 1 :] == y for i in range(len(x))) or any(y[:i] + y[i + 1 :] == x for i in range(len(y))) or x == y
     for n, m in itertools.product(range(4), repeat=2):
