@@ -1,25 +1,30 @@
 """Operator 6, toxicity by the nearest labelled examples.
 
-Examples and documents are TF-IDF vectors ((1 + ln tf) * ln(1 + N / df)) over a vocabulary chosen when the
-labels are learned: terms in at least ``MIN_DF`` examples that toxic ones hold more often than chance, by a
-chi-square of ``CHI`` or more, and at least ``LIFT`` times as often as others.  The ``K`` examples of highest cosine are found exactly through an inverted
-index with block maxima: examples stand in blocks of ``BLOCK``; a block's bound is the sum over the
-document's terms of its weight times the block's largest; blocks are visited by descending bound until the
-bound is below the k-th cosine.  Votes weigh by cosine and by how many labelled rows an example stands for,
-so the score estimates the share of toxic documents among such neighbours; the neighbours are the
-evidence.  A document without a term of the vocabulary is scored as the examples without one.
-
-Learned on at most ``SAMPLE`` labelled documents of each label, those with the smallest hashes of their
-ids; every whole text is scored.  Ties of cosine go to the smaller example id.
-
-Null and empty texts have no terms.  Without labels of both kinds every score is the labels' mean, or 0.
-Repeated rows get equal results; null ids are passed through and count as learnable; an empty table gives
-no rows; columns other than doc_id and text are not read.
+Examples and documents are TF-IDF vectors over all terms of the examples: (1 + ln tf) * ln(1 + N / df), times
+``FLOOR`` plus, for terms whose document counts differ by label beyond chance (a chi-square of ``CHI`` or more), the
+size of that difference (phi, 0 to 1).  So every term weighs, and what tells the labels apart weighs most.
+
+The ``K`` examples of highest cosine are found exactly through a block-max inverted index.  Examples stand in blocks
+of ``BLOCK``, alike ones together; for each term and block the index has the largest weight.  A document's bound for
+a block is the sum over its terms of its weight times that largest one.  The ``FIRST`` blocks of highest bounds are
+scored, which gives a k-th cosine; then all other blocks whose bound reaches it.  Many documents walk side by side.
+
+Votes weigh by cosine, and labels equally however many examples each has.  A part of the sample (``CALIBRATION``)
+is kept out of the index: on it a rising curve is fitted that turns the share of toxic votes into the probability
+of the label among all labelled rows.  The neighbours are the evidence.
+
+Learned on at most ``SAMPLE`` labelled documents of each label, those with the smallest hashes of their ids, without
+texts above ``EXAMPLE_BYTES`` (which bounds what comes to the driver); idf is counted on them too.  Every whole text
+is scored.  Ties of cosine go to the smaller example id.
+
+Null and empty texts, and those without a term of the examples, have no neighbours: they get the score of a
+document with as many votes for each label as chance gives.  Without labels of both kinds every score is the
+labels' mean, or 0.  Repeated rows get equal results; null ids are passed through and count as learnable; an empty
+table gives no rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,14 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lists, mod_of_id, pieces, ship, table
+from .common import claim, lists, mod_of_id, pieces, ship, table
 from .words import plain_words
 
-SAMPLE = 4000
-MIN_DF, CHI, LIFT = 5, 30.0, 3.0
-REMEMBER = 20_000
-K, BLOCK = 20, 64
+SAMPLE, EXAMPLE_BYTES = 2000, 1 << 16
+CALIBRATION = 4  # every so many-th example calibrates
+FLOOR, CHI = 0.01, 24.0
+K, BLOCK, FIRST = 50, 64, 4
+SIDE_BY_SIDE, CELLS, POSTINGS = 128, 1 << 20, 1 << 20  # documents, terms times blocks and postings that are looked at together
+DIGITS = 10**12  # cosines are compared by so many parts of one
 THRESHOLD = 0.7
+TILT = 0.02  # of the score is the share of votes itself, so that flat stretches of the curve keep its order
 RESULT = "doc_id long, held_out boolean, score double, predicted int, neighbours array<long>, cosines array<double>"
 
 
@@ -51,89 +59,206 @@ def term_counts(texts: pa.Array, terms: dict[bytes, int] | None = None) -> tuple
     return pairs // width, pairs % width, counts, unique
 
 
+def ranges(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers from each start to before its stop in a row, and which range each is from."""
+    n = stops - starts
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(of)) + np.repeat(starts - (np.cumsum(n) - n), n), of
+
+
+def label_weights(df: np.ndarray, toxic_df: np.ndarray, n: int, n_toxic: float) -> np.ndarray:
+    """What a term weighs by its counts: idf, times FLOOR and, beyond chance, phi."""
+    a, b = toxic_df, df - toxic_df
+    c, d = n_toxic - a, n - n_toxic - b
+    phi2 = (a * d - b * c) ** 2 / np.maximum(1.0, (a + b) * (c + d) * (a + c) * (b + d))
+    return np.log(1 + n / np.maximum(df, 1)) * (FLOOR + np.where(n * phi2 >= CHI, np.sqrt(phi2), 0.0))
+
+
 @dataclass
 class Index:
-    """Postings of the examples' unit vectors by term, with the largest weight of each block."""
+    """Postings of the examples' unit vectors by term and block, with the largest weight of each."""
 
     terms: dict[bytes, int] = field(default_factory=dict)
-    idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of each term
+    ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # of each example, as they stand in the blocks
     toxic: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    stands_for: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    starts: np.ndarray = field(default_factory=lambda: np.zeros((0, 1), np.int64))  # [term, block]: first posting
-    at: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    votes: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of each example
+    of_term: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # first cell of each term
+    block: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # of each cell
+    largest: np.ndarray = field(default_factory=lambda: np.zeros(0))  # weight of each cell
+    of_cell: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # first posting of each cell
+    at: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # example of each posting
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    largest: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # [term, block]
-    without: float = 0.0  # score of a document without terms
-
-    def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(counts)) * self.idf[terms]
-        return w / np.sqrt((w * w).sum())
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = K) -> list[tuple[float, int]]:
-        """(cosine, example) of the k nearest, nearest first; ties to the smaller id."""
-        bounds = weights @ self.largest[terms]
-        heap: list[tuple[float, int]] = []  # (cosine, -example): the worst first
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(heap) == k and bounds[b] < heap[0][0] - 1e-9:
-                break
-            if len(heap) == k and bounds[b] < heap[0][0] + 1e-12 and b * BLOCK > -heap[0][1]:
-                continue  # it could only tie, with larger ids
-            score = np.zeros(min(BLOCK, len(self.ids) - b * BLOCK))
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                i, j = self.starts[t, b], self.starts[t, b + 1]
-                score[self.at[i:j] - b * BLOCK] += w * self.weight[i:j]
-            for e in np.flatnonzero(score > 0).tolist():
-                item = (round(float(score[e]), 12), -(b * BLOCK + e))
-                if len(heap) < k:
-                    heapq.heappush(heap, item)
-                elif item > heap[0]:
-                    heapq.heapreplace(heap, item)
-        return [(c, -e) for c, e in sorted(heap, reverse=True)]
-
-    def score(self, found: list[tuple[float, int]]) -> float:
-        if not found:
-            return self.without
-        e = np.array([x[1] for x in found])
-        votes = np.array([x[0] for x in found]) * self.stands_for[e]
-        return float((votes * self.toxic[e]).sum() / votes.sum())
-
-
-def build(ids: np.ndarray, texts: pa.Array, toxic: np.ndarray, stands_for: np.ndarray) -> Index:
-    """The index of examples in the order of their ids."""
-    n = len(ids)
-    if not n or toxic.all() or not toxic.any():
-        return Index(without=float(toxic.mean()) if n else 0.0)
+    curve: tuple[np.ndarray, np.ndarray] | None = None
+    mean: float = 0.0  # score without anything learned
+
+    def vectors(self, doc: np.ndarray, term: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+        """Weights of the terms of ``n`` unit vectors."""
+        w = (1 + np.log(counts)) * self.weights[term]
+        norm = np.sqrt(np.bincount(doc, w * w, n))
+        return w / np.where(norm > 0, norm, 1.0)[doc]
+
+    def nearest(self, doc: np.ndarray, term: np.ndarray, w: np.ndarray, n: int, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) of the k nearest of ``n`` documents, nearest first; -1 where there are fewer."""
+        examples, blocks = len(self.ids), -(-len(self.ids) // BLOCK)
+        k = min(k, examples)
+        if not k or not len(doc):
+            return np.full((n, k), -1), np.zeros((n, k))
+        cell, of = ranges(self.of_term[term], self.of_term[term + 1])
+        spot = doc[of] * blocks + self.block[cell]
+        bound = np.bincount(spot, w[of] * self.largest[cell], n * blocks).reshape(n, blocks)
+        bound = bound * (1 + 1e-9) + np.where(bound > 0, 2 / DIGITS, 0)  # rounding must not prune
+        cos = np.zeros(n * examples)
+        # Ties go to the smaller id: keys are parts of one, then the ids' order downwards.
+        order = np.empty(examples, np.int64)
+        order[np.argsort(self.ids, kind="stable")] = np.arange(examples)[::-1]
+
+        def look(wanted: np.ndarray) -> None:
+            mine = np.flatnonzero(wanted.ravel()[spot])
+            sizes = np.cumsum(self.of_cell[cell[mine] + 1] - self.of_cell[cell[mine]])
+            start = 0
+            while start < len(mine):
+                base = sizes[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(sizes, base + POSTINGS, side="right")))
+                part = mine[start:stop]
+                p, c = ranges(self.of_cell[cell[part]], self.of_cell[cell[part] + 1])
+                row = of[part][c]
+                np.add.at(cos, doc[row] * examples + self.at[p], w[row] * self.weight[p])
+                start = stop
+
+        def keys() -> np.ndarray:
+            return np.round(cos.reshape(n, examples) * DIGITS).astype(np.int64) * examples + order
+
+        first = np.zeros((n, blocks), bool)
+        head = min(max(FIRST, -(-k // BLOCK)), blocks)
+        np.put_along_axis(first, np.argpartition(-bound, head - 1, axis=1)[:, :head], True, 1)
+        look(first)
+        kth = np.partition(keys(), examples - k, axis=1)[:, examples - k] // examples / DIGITS
+        look((bound > 0) & (bound >= kth[:, None]) & ~first)
+        found = keys()
+        best = np.argpartition(found, examples - k, axis=1)[:, examples - k :]
+        value = np.take_along_axis(found, best, 1)
+        turn = np.argsort(-value, axis=1)
+        best, value = np.take_along_axis(best, turn, 1), np.take_along_axis(value, turn, 1) // examples
+        return np.where(value > 0, best, -1), np.where(value > 0, value / DIGITS, 0.0)
+
+    def share(self, found: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+        """Toxic part of the votes, with one vote for each label at the mean weight added."""
+        if not len(self.ids):
+            return np.full(len(found), 0.5)
+        votes = np.where(found >= 0, cosines * self.votes[found], 0.0)
+        toxic = (votes * self.toxic[found]).sum(axis=1)
+        return (toxic + 0.005) / (votes.sum(axis=1) + 0.01)
+
+    def score(self, found: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+        if self.curve is None:
+            return np.full(len(found), self.mean)
+        share = self.share(found, cosines)
+        return (1 - TILT) * np.interp(share, *self.curve) + TILT * share
+
+    def groups(self, doc: np.ndarray, term: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
+        """Documents that are scored together: few, and of few cells, or one."""
+        cells = np.cumsum(np.bincount(doc, self.of_term[term + 1] - self.of_term[term], n)) if n else np.zeros(0)
+        a = 0
+        while a < n:
+            b = int(np.searchsorted(cells, (cells[a - 1] if a else 0) + CELLS, side="right"))
+            b = min(max(a + 1, b), a + SIDE_BY_SIDE, n)
+            yield a, b
+            a = b
+
+    def neighbours(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(examples, cosines) of the texts, group by group."""
+        doc, term, counts, _ = term_counts(texts, self.terms)
+        w = self.vectors(doc, term, counts, len(texts))
+        for a, b in self.groups(doc, term, len(texts)):
+            i, j = np.searchsorted(doc, (a, b))
+            yield self.nearest(doc[i:j] - a, term[i:j], w[i:j], b - a)
+
+    def shares(self, texts: pa.Array) -> np.ndarray:
+        return np.concatenate([np.zeros(0)] + [self.share(*x) for x in self.neighbours(texts)])
+
+    def scores(self, texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Score, neighbours' ids and cosines of each text."""
+        score, near, cosines = [np.zeros(0)], [], []
+        for found, cos in self.neighbours(texts):
+            score.append(self.score(found, cos))
+            count = (found >= 0).sum(axis=1).tolist()
+            near += [self.ids[f[:n]] for f, n in zip(found, count)]
+            cosines += [c[:n] for c, n in zip(cos, count)]
+        return np.concatenate(score), near, cosines
+
+
+def build(ids: np.ndarray, texts: pa.Array, toxic: np.ndarray) -> Index:
+    """The index of examples of both labels, not yet calibrated."""
+    n, n_toxic = len(ids), float(toxic.sum())
     doc, term, counts, names = term_counts(texts)
     df = np.bincount(term, minlength=len(names)).astype(float)
-    a = np.bincount(term, toxic[doc], len(names))
-    p = float(toxic.sum())
-    b, c, d = df - a, p - a, n - p - (df - a)
-    chi = n * (a * d - b * c) ** 2 / np.maximum(1.0, (a + b) * (c + d) * (a + c) * (b + d))
-    chosen = np.flatnonzero((df >= MIN_DF) & (chi >= CHI) & (a * (n - p) >= LIFT * b * p))
-    number = np.full(len(names), -1)
-    number[chosen] = np.arange(len(chosen))
-    idf = np.log(1 + n / df[chosen]) if len(chosen) else np.zeros(0)
-    keep = number[term] >= 0
-    doc, term, counts = doc[keep], number[term[keep]], counts[keep]
-    w = (1 + np.log(counts)) * idf[term]
-    w = w / np.sqrt(np.bincount(doc, w * w, n))[doc]
+    index = Index({w: t for t, w in enumerate(names)}, label_weights(df, np.bincount(term, toxic[doc], len(names)), n, n_toxic))
+    w = index.vectors(doc, term, counts, n)
+    # Alike examples stand together: by their label, then by the commonest term that they hold.
+    common = np.full(n, -1)
+    rank = np.empty(len(names), np.int64)
+    rank[np.argsort(-df, kind="stable")] = np.arange(len(names))
+    np.maximum.at(common, doc, len(names) - rank[term])
+    place = np.empty(n, np.int64)
+    stand = np.lexsort((ids, -common, toxic))
+    place[stand] = np.arange(n)
+    index.ids, index.toxic = ids[stand], toxic[stand].astype(float)
+    index.votes = np.where(index.toxic > 0, 1 / n_toxic, 1 / (n - n_toxic)) * n / 2
+    at = place[doc]
+    order = np.lexsort((at, term))
+    at, term, w = at[order], term[order], w[order]
     blocks = -(-n // BLOCK)
-    order = np.lexsort((doc, term))
-    doc, term, w = doc[order], term[order], w[order]
-    cell = term * blocks + doc // BLOCK
-    starts = np.searchsorted(cell, np.arange(len(chosen) * blocks + 1)).astype(np.int64)
-    largest = np.zeros(len(chosen) * blocks)
-    np.maximum.at(largest, cell, w)
-    grid = np.concatenate([starts[:-1].reshape(len(chosen), blocks), starts[blocks::blocks][:, None]], axis=1) if len(chosen) else np.zeros((0, blocks + 1), np.int64)
-    bare = np.setdiff1d(np.arange(n), doc)
-    weight = stands_for[bare] if len(bare) else stands_for
-    without = float((toxic[bare] if len(bare) else toxic) @ weight / weight.sum())
-    return Index({names[t]: i for i, t in enumerate(chosen)}, idf, ids, toxic.astype(float), stands_for, grid, doc, w, largest.reshape(len(chosen), blocks), without)
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Index:
-    """Index at most ``sample`` examples of each label of ``labels`` (doc_id, toxic)."""
+    cells, first = np.unique(term * blocks + at // BLOCK, return_index=True)
+    index.of_cell = np.append(first, len(at)).astype(np.int64)
+    index.block = (cells % blocks).astype(np.int32)
+    index.of_term = np.searchsorted(cells // blocks, np.arange(len(names) + 1)).astype(np.int64)
+    index.largest = np.maximum.reduceat(w, first) if len(first) else np.zeros(0)
+    index.at, index.weight = at.astype(np.int32), w
+    return index
+
+
+def monotone(x: np.ndarray, y: np.ndarray, weight: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of the curve through the weighted means of ``y`` that doesn't fall as x rises (adjacent violators are
+    pooled), each mean with half a row of ``mean`` added."""
+    order = np.argsort(x, kind="stable")
+    pools: list[list[float]] = []  # weight, sum of y, sum of x
+    for w, wy, wx in zip(weight[order], (weight * y)[order], (weight * x)[order]):
+        pools.append([w, wy, wx])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0]:
+            last = pools.pop()
+            pools[-1] = [u + v for u, v in zip(pools[-1], last)]
+    w, wy, wx = np.array(pools).T
+    return wx / w, np.maximum.accumulate((wy + 0.5 * mean) / (w + 0.5))
+
+
+def learn(ids: np.ndarray, texts: list[str], toxic: np.ndarray, rows: dict[int, int]) -> Index:
+    """Index and calibration from examples in the order of their ids; ``rows``: how many labelled rows there are."""
+    total = sum(rows.values())
+    mean = rows.get(1, 0) / total if total else 0.0
+    if not len(ids) or toxic.all() or not toxic.any():
+        return Index(mean=mean)
+    turn = np.empty(len(ids), np.int64)  # dealt out within each label
+    for t in (0, 1):
+        turn[toxic == t] = np.arange(int((toxic == t).sum()))
+    held = turn % CALIBRATION == CALIBRATION - 1
+    if not (toxic[held] == 1).any() or not (toxic[held] == 0).any():
+        held = np.zeros(len(ids), bool)
+    fitted, asked = np.flatnonzero(~held), np.flatnonzero(held)
+    index = build(ids[fitted], pa.array([texts[i] for i in fitted], pa.string()), toxic[fitted])
+    index.mean = mean
+    if not len(asked):  # too few to spare any: shares count as they are
+        index.curve = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+        return index
+    n = {t: int((toxic[asked] == t).sum()) for t in (0, 1)}
+    share = index.shares(pa.array([texts[i] for i in asked], pa.string()))
+    weight = np.array([rows.get(int(t), 1) / n[int(t)] for t in toxic[asked]])
+    index.curve = monotone(share, toxic[asked].astype(float), weight / weight.mean(), mean)
+    return index
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, example_bytes: int = EXAMPLE_BYTES) -> Index:
+    """Learn from at most ``sample`` examples of each label of ``labels`` (doc_id, toxic)."""
     chosen, rows = None, {}
     labels = labels.filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     for r in labels.groupBy("toxic").count().collect():
@@ -141,34 +266,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Index:
         chosen, rows[r.toxic] = part if chosen is None else chosen.unionByName(part), r["count"]
     if chosen is None:
         return Index()
-    # At most 2 * sample rows are broadcast and collected.
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toArrow().sort_by("doc_id")
-    ids, toxic = got.column("doc_id").to_numpy(), got.column("toxic").to_numpy()
+    # At most 2 * sample rows are broadcast, and as many texts of at most example_bytes collected.
+    short = docs.select("doc_id", "text").filter(F.octet_length("text") <= example_bytes)
+    got = short.join(F.broadcast(chosen), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     text = got.column("text").to_pylist()
     first = np.array(sorted({t: i for i, t in reversed(list(enumerate(text)))}.values()), np.int64)  # each text once
-    n = {x: max(1, int((toxic == x).sum())) for x in (0, 1)}
-    stands_for = np.array([rows.get(int(t), 0) / n[int(t)] for t in toxic], float)
-    return build(ids[first], pa.array([text[i] for i in first.tolist()], pa.string()), toxic[first], stands_for[first])
+    ids, toxic = got.column("doc_id").to_numpy()[first], got.column("toxic").to_numpy()[first]
+    return learn(ids, [text[i] for i in first.tolist()], toxic, rows)
 
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         index: Index = shared.value
-        known: dict[bytes, list[tuple[float, int]]] = {}  # texts with the same terms have the same neighbours
         for part in pieces(batches, "text"):
-            doc, term, counts, _ = term_counts(part.column("text"), index.terms)
-            score = np.full(part.num_rows, index.without)
-            near, cosines = [np.zeros(0, np.int64)] * part.num_rows, [np.zeros(0)] * part.num_rows
-            first = np.flatnonzero(np.diff(doc, prepend=-1))
-            if len(known) > REMEMBER:
-                known.clear()
-            for a, b in zip(first.tolist(), np.append(first[1:], len(doc)).tolist()):
-                key = term[a:b].tobytes() + counts[a:b].tobytes()
-                if (found := known.get(key)) is None:
-                    found = known[key] = index.nearest(term[a:b], index.vector(term[a:b], counts[a:b]))
-                i = int(doc[a])
-                score[i] = index.score(found)
-                near[i], cosines[i] = index.ids[[e for _, e in found]], np.array([c for c, _ in found])
+            score, near, cosines = index.scores(part.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("held_out"), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32)), lists(near, pa.int64()), lists(cosines, pa.float64())],
                 ["doc_id", "held_out", "score", "predicted", "neighbours", "cosines"],

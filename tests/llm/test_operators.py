@@ -238,29 +238,60 @@ def test_toxicity(spark, sf_dir):
     assert held[held.toxic == 1].score.mean() > held[held.toxic == 0].score.mean() + 0.3
 
 
-def test_block_max_search_is_exact():
+def brute_cosines(examples, toxic, texts):
+    """By the definition: term weights from counts, unit vectors, all products."""
+    split_ = lambda t: re.findall(r"[a-z0-9\u0080-\U0010ffff]+", t.translate(LOWER))
+    bags, n, n_toxic = [collections.Counter(split_(t)) for t in examples], len(examples), sum(toxic)
+    weight = {}
+    for w in set().union(*bags):
+        a, b = sum(w in x for x, y in zip(bags, toxic) if y), sum(w in x for x, y in zip(bags, toxic) if not y)
+        c, d = n_toxic - a, n - n_toxic - b
+        phi2 = (a * d - b * c) ** 2 / max(1, (a + b) * (c + d) * (a + c) * (b + d))
+        weight[w] = np.log(1 + n / (a + b)) * (toxicity.FLOOR + (np.sqrt(phi2) if n * phi2 >= toxicity.CHI else 0))
+
+    def unit(bag):
+        v = {w: (1 + np.log(k)) * weight[w] for w, k in bag.items() if w in weight}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    vectors = [unit(b) for b in bags]
+    for t in texts:
+        q = unit(collections.Counter(split_(t)))
+        yield [sum(x * v.get(w, 0.0) for w, x in q.items()) for v in vectors]
+
+
+@pytest.mark.parametrize("words_", [30, 400])
+def test_block_max_search_is_exact(words_, monkeypatch):
+    """In the production configuration, with all terms; small groups change nothing."""
     rng = np.random.default_rng(2)
-    vocabulary = [f"t{i}" for i in range(40)]
-    texts = [" ".join(rng.choice(vocabulary, rng.integers(1, 12))) for _ in range(500)]
-    toxic = np.array([("t1" in t.split()) or ("t2" in t.split()) for t in texts], int)
-    chi, toxicity.CHI, lift, toxicity.LIFT = toxicity.CHI, 0.0, toxicity.LIFT, 0.0
-    try:
-        index = toxicity.build(np.arange(500), pa.array(texts), toxic, np.ones(500))
-    finally:
-        toxicity.CHI, toxicity.LIFT = chi, lift
-    dense = np.zeros((500, len(index.terms)))
-    doc, term, counts, _ = toxicity.term_counts(pa.array(texts), index.terms)
-    dense[doc, term] = (1 + np.log(counts)) * index.idf[term]
-    norm = np.linalg.norm(dense, axis=1, keepdims=True)
-    dense = dense / np.where(norm > 0, norm, 1)
-    for i in range(0, 500, 7):
-        mine = doc == i
-        if not mine.any():
-            continue
-        cos = np.round(dense @ dense[i], 12)
-        best = sorted(((-c, e) for e, c in enumerate(cos) if c > 0))[: toxicity.K]
-        found = index.nearest(term[mine], index.vector(term[mine], counts[mine]))
-        assert [round(c, 9) for c, _ in found] == [round(-c, 9) for c, _ in best]
+    vocabulary = [f"t{i}" for i in range(words_)]
+    draw = lambda: " ".join(rng.choice(vocabulary, rng.integers(1, 40), p=np.arange(words_, 0, -1) / (words_ * (words_ + 1) / 2)))
+    texts = [draw() for _ in range(500)]
+    toxic = np.array([("t1" in t.split()) or ("t20" in t.split()) for t in texts], int)
+    ids = rng.permutation(5000)[:500]
+    index = toxicity.build(ids, pa.array(texts), toxic)
+    assert len(index.terms) == len(set(" ".join(texts).split()))
+    asked = [draw() for _ in range(60)] + texts[:20] + ["", "zzz", "t1 " * 500]
+    for cells in (1 << 20, 50):
+        monkeypatch.setattr(toxicity, "CELLS", cells)
+        got = [x for found, cos in index.neighbours(pa.array(asked)) for x in zip(found.tolist(), cos.tolist())]
+        for (found, cos), all_ in zip(got, brute_cosines(texts, toxic, asked)):
+            best = sorted(((-round(c, 10), int(i)) for c, i in zip(all_, ids) if c > 0))[: toxicity.K]
+            assert [round(c, 9) for c, e in zip(cos, found) if e >= 0] == pytest.approx([-c for c, _ in best], abs=1e-8)
+            strict = {i for c, i in best if c < best[-1][0] - 1e-8}  # those that no tie at the end decides
+            assert strict <= {int(index.ids[e]) for e in found if e >= 0}
+
+
+def test_votes_are_calibrated():
+    rng = np.random.default_rng(8)
+    share = rng.random(4000)
+    y = (rng.random(4000) < share**3).astype(float)
+    x, p = toxicity.monotone(share, y, np.ones(4000), y.mean())
+    assert (np.diff(p) >= 0).all() and np.abs(np.interp(np.linspace(0.1, 0.9, 9), x, p) - np.linspace(0.1, 0.9, 9) ** 3).max() < 0.1
+    few = toxicity.learn(np.arange(3), ["a b", "c d", "a"], np.array([1, 0, 1]), {0: 9, 1: 1})
+    score, near, _ = few.scores(pa.array(["a", "c", "", None], pa.string()))
+    assert score[0] > score[2] == score[3] > score[1] and near[0].tolist() == [2, 0] and not len(near[2])
+    assert toxicity.learn(np.arange(2), ["a", "b"], np.array([1, 1]), {1: 2}).scores(pa.array(["a", None]))[0].tolist() == [1.0, 1.0]
 
 
 # quality ----------------------------------------------------------------------------------------------------
