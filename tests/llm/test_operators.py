@@ -117,6 +117,50 @@ def test_a_group_around_the_bound(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got.itertuples()} == brute_components(rows)
 
 
+def templated(n, own, tag="d"):
+    """Texts of one template of 160 words in which ``own`` words are the text's own."""
+    base = [f"t{i}" for i in range(160)]
+    return [(i, " ".join(base[:70] + [f"{tag}{i}w{k}" for k in range(own)] + base[70 + own :])) for i in range(n)]
+
+
+def test_templated_texts_meet_only_where_they_share_more(spark):
+    """Texts of one template at a similarity of 0.75: what is compared grows with them, not with their square."""
+    for n in (300, 1200):
+        rows = spark.createDataFrame([(d, 0, d, near_dedup.shingles(near_dedup._HASH.of(t.encode().split())).view(np.int64).tolist()) for d, t in templated(n, 18)], "id long, variant long, comp long, members array<long>")
+        code = rows.select("id", *[F.lit(0).cast("long").alias(f"c{i}") for i in range(4)])  # lets all through
+        assert near_dedup.sharing_rare(rows, code, 85).count() == 0
+        assert near_dedup.sharing_rare(rows, code, 70).limit(1).count() == 1
+    docs = [*templated(400, 18), *((1000 + d, t) for d, t in templated(100, 2, "e")), (2000, templated(8, 18)[7][1] + " and more")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).toPandas()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got.itertuples()} == brute_components(docs)
+
+
+@pytest.mark.parametrize("tile", [0, 3])
+def test_rare_shingles_lose_no_link(spark, monkeypatch, tile):
+    """All buckets split by rare shingles, one round of leaders: sizes and similarities on both sides of the bound."""
+    monkeypatch.setattr(near_dedup, "TILE", tile)
+    monkeypatch.setattr(near_dedup, "ROUNDS", 1)
+    rng = np.random.default_rng(12)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(int(rng.integers(20, 200)))]
+        for _ in range(25):
+            w = list(base)
+            for _ in range(int(rng.integers(0, 4))):
+                a = int(rng.integers(0, len(w)))
+                w[a : a + int(rng.integers(1, 6))] = [f"x{rng.integers(0, 30)}" for _ in range(int(rng.integers(0, 6)))]
+            rows.append((len(rows), " ".join(w)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got.itertuples()} == brute_components(rows)
+
+
+def test_an_id_of_several_texts_has_the_links_of_each(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(9, a), (5, a), (5, b), (5, b), (7, b + " more"), (3, a + " x"), (8, "other words that stand alone here"), (5, None), (None, a)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in got.collect()) == sorted([(9, 36, 3), (5, 36, 3), (5, 36, 3), (5, 36, 3), (7, 37, 3), (3, 37, 3), (8, 2, 8), (5, 0, 5), (0, 36, None)], key=lambda r: (r[0], r[1], r[2] or 0))
+
+
 def test_codes_estimate_similarity():
     rng = np.random.default_rng(1)
     shared, a, b = (rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (850, 75, 75))
