@@ -5,9 +5,11 @@ Examples and documents are TF-IDF vectors over all terms of the examples: (1 + l
 size of that difference (phi, 0 to 1).  So every term weighs, and what tells the labels apart weighs most.
 
 The ``K`` examples of highest cosine are found exactly through a block-max inverted index.  Examples stand in blocks
-of ``BLOCK``, alike ones together; for each term and block the index has the largest weight.  A document's bound for
-a block is the sum over its terms of its weight times that largest one.  The ``FIRST`` blocks of highest bounds are
-scored, which gives a k-th cosine; then all other blocks whose bound reaches it.  Many documents walk side by side.
+of ``BLOCK``, alike ones together; for each term and block the index has the largest weight.  The few terms that one
+example in ``COMMON`` or more holds have their postings in a matrix, so that their part of all cosines is one product.
+A document's bound for a block is the largest such part in it and, for the other terms, the sum of their weights
+times the block's largest ones.  The ``FIRST`` blocks of highest bounds are scored, which gives a k-th cosine; then
+all other blocks whose bound reaches it.  Many documents walk side by side.
 
 Votes weigh by cosine, and labels equally however many examples each has.  A part of the sample (``CALIBRATION``)
 is kept out of the index: on it a rising curve is fitted that turns the share of toxic votes into the probability
@@ -39,7 +41,7 @@ from .words import plain_words
 SAMPLE, EXAMPLE_BYTES = 2000, 1 << 16
 CALIBRATION = 4  # every so many-th example calibrates
 FLOOR, CHI = 0.01, 24.0
-K, BLOCK, FIRST = 50, 64, 4
+K, BLOCK, FIRST, COMMON = 50, 64, 4, 8
 SIDE_BY_SIDE, CELLS, POSTINGS = 128, 1 << 20, 1 << 20  # documents, terms times blocks and postings that are looked at together
 DIGITS = 10**12  # cosines are compared by so many parts of one
 THRESHOLD = 0.7
@@ -89,6 +91,8 @@ class Index:
     of_cell: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # first posting of each cell
     at: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # example of each posting
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    column: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # of each term in ``common``, or -1
+    common: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # [term, example]
     curve: tuple[np.ndarray, np.ndarray] | None = None
     mean: float = 0.0  # score without anything learned
 
@@ -104,11 +108,15 @@ class Index:
         k = min(k, examples)
         if not k or not len(doc):
             return np.full((n, k), -1), np.zeros((n, k))
+        often = self.column[term]
+        q = np.zeros((n, len(self.common)))
+        q[doc[often >= 0], often[often >= 0]] = w[often >= 0]
+        cos = (q @ self.common).ravel()
         cell, of = ranges(self.of_term[term], self.of_term[term + 1])
         spot = doc[of] * blocks + self.block[cell]
-        bound = np.bincount(spot, w[of] * self.largest[cell], n * blocks).reshape(n, blocks)
-        bound = bound * (1 + 1e-9) + np.where(bound > 0, 2 / DIGITS, 0)  # rounding must not prune
-        cos = np.zeros(n * examples)
+        bound = np.maximum.reduceat(cos.reshape(n, examples), np.arange(0, examples, BLOCK), axis=1)
+        bound += np.bincount(spot, w[of] * self.largest[cell], n * blocks).reshape(n, blocks)
+        bound = bound * (1 + 1e-9) + 2 / DIGITS  # rounding must not prune
         # Ties go to the smaller id: keys are parts of one, then the ids' order downwards.
         order = np.empty(examples, np.int64)
         order[np.argsort(self.ids, kind="stable")] = np.arange(examples)[::-1]
@@ -122,8 +130,7 @@ class Index:
                 stop = max(start + 1, int(np.searchsorted(sizes, base + POSTINGS, side="right")))
                 part = mine[start:stop]
                 p, c = ranges(self.of_cell[cell[part]], self.of_cell[cell[part] + 1])
-                row = of[part][c]
-                np.add.at(cos, doc[row] * examples + self.at[p], w[row] * self.weight[p])
+                np.add.at(cos, (doc[of[part]] * examples)[c] + self.at[p], w[of[part]][c] * self.weight[p])
                 start = stop
 
         def keys() -> np.ndarray:
@@ -134,7 +141,7 @@ class Index:
         np.put_along_axis(first, np.argpartition(-bound, head - 1, axis=1)[:, :head], True, 1)
         look(first)
         kth = np.partition(keys(), examples - k, axis=1)[:, examples - k] // examples / DIGITS
-        look((bound > 0) & (bound >= kth[:, None]) & ~first)
+        look((bound >= kth[:, None]) & ~first)
         found = keys()
         best = np.argpartition(found, examples - k, axis=1)[:, examples - k :]
         value = np.take_along_axis(found, best, 1)
@@ -206,6 +213,13 @@ def build(ids: np.ndarray, texts: pa.Array, toxic: np.ndarray) -> Index:
     index.ids, index.toxic = ids[stand], toxic[stand].astype(float)
     index.votes = np.where(index.toxic > 0, 1 / n_toxic, 1 / (n - n_toxic)) * n / 2
     at = place[doc]
+    often = np.flatnonzero(df * COMMON >= n)
+    index.column = np.full(len(names), -1, np.int32)
+    index.column[often] = np.arange(len(often))
+    index.common = np.zeros((len(often), n))
+    dense = index.column[term] >= 0
+    index.common[index.column[term[dense]], at[dense]] = w[dense]
+    at, term, w = at[~dense], term[~dense], w[~dense]
     order = np.lexsort((at, term))
     at, term, w = at[order], term[order], w[order]
     blocks = -(-n // BLOCK)
