@@ -7,10 +7,12 @@ Each document is taken ``floor(r)`` times, r being its source's target over its
 probability ``r - floor(r)``.  Which ones is decided so that the number of documents and of words come
 out as expected: a flight keeps three undecided documents, moves their probabilities along the null space
 of the two totals, (s3 - s2, s1 - s3, s2 - s1) for sizes s, until one is decided, and lets in the next.
-At most two of a flight stay undecided.  Flights run over blocks of about ``BLOCK`` documents of one
-source; the undecided of many blocks meet in the flight of the next level, until each source has one
-block, whose last two are landed on the total of words that is nearest; a few decisions of that block are
-turned over where that makes up for the rest.
+At most two of a flight stay undecided, long ones mostly, which short ones balance.  Flights run over blocks of about
+``BLOCK`` documents of one source; the undecided of many blocks meet in the flight of the next level, until each
+source has one block.  That one keeps ``RESERVE`` documents of all sizes out of its flight.  They and the two left are
+the landing problem: of all ways to decide them that take the expected number of documents, rounded down or up, the
+one whose words are nearest to the expected ones is found by halves (with a document more or less only where words
+would be off by over a hundredth).  What a flight has decided stays.
 
 So a source with a third of all rows is many blocks, and no step holds more than one.  The random numbers
 depend on the block alone, and rows stand in the order of descending size, then doc_id, so reruns agree.
@@ -36,7 +38,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCK, MERGE = 8192, 2048
 EPS = 1e-9
-TURNS = 12
+NEAR = 0.01
+RESERVE = 18  # documents of a source that are decided in landing, besides two of a flight
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,58 +85,82 @@ def flight(p: np.ndarray, s: np.ndarray, rng: np.random.Generator) -> np.ndarray
     return np.array(p)
 
 
+def reserve(p: np.ndarray, s: np.ndarray, n: int = 0) -> np.ndarray:
+    """Which undecided documents wait for the landing: up to ``n`` (RESERVE), their sizes spread from half the largest down."""
+    out = np.zeros(len(p), bool)
+    open_ = np.flatnonzero((p > EPS) & (p < 1 - EPS))
+    n = min(n or RESERVE, len(open_))
+    if n:
+        size = s[open_].astype(float)
+        for t in np.geomspace(max(1.0, size.max() / 2), max(1.0, size.min()), n):
+            k = int(np.abs(size - t).argmin())
+            out[open_[k]], size[k] = True, np.inf
+    return out
+
+
+def _halves(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number and sum of each subset of ``s``, which the bits of its place name."""
+    bits = (np.arange(1 << len(s))[:, None] >> np.arange(len(s))) & 1
+    return bits.sum(axis=1), bits @ s
+
+
 def land(p: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """Decide the few that are left, nearest to the expected words, then documents.  What they leave over is
-    made up by turning over the decisions that fit it best, as long as that comes nearer."""
+    """Decide the few that are left: as many as expected, rounded down or up, and nearest to the expected words.  Where
+    that is further away than NEAR of them, as among a handful of documents, the number may differ by more."""
+    out = np.round(p)
     open_ = np.flatnonzero((p > EPS) & (p < 1 - EPS))
     if not len(open_):
-        return np.round(p)
-    words, docs, best = float((p * s)[open_].sum()), float(p[open_].sum()), None
-    for bits in range(1 << len(open_)):
-        x = np.array([bits >> j & 1 for j in range(len(open_))], float)
-        error = (abs(float((x * s[open_]).sum()) - words), abs(float(x.sum()) - docs), bits)
-        if best is None or error < best[0]:
-            best = (error, x)
-    out = np.round(p)
-    out[open_] = best[1]
-    over = float((p * s).sum() - (out * s).sum())
-    for _ in range(TURNS):
-        gain = np.where(out > 0, -s, s).astype(float)
-        turn = [int(np.abs(over - gain).argmin())]
-        if len(gain) > 1:  # or two at once: for each the one nearest to what it leaves
-            order = np.argsort(gain, kind="stable")
-            near = np.clip(np.searchsorted(gain[order], over - gain)[:, None] + np.arange(-2, 2), 0, len(gain) - 1)
-            left = np.where(order[near] == np.arange(len(gain))[:, None], np.inf, np.abs(over - gain[:, None] - gain[order[near]]))
-            i, j = np.unravel_index(int(left.argmin()), left.shape)
-            if left[i, j] < abs(over - gain[turn[0]]):
-                turn = [int(i), int(order[near[i, j]])]
-        rest = over - float(gain[turn].sum())
-        if abs(rest) >= abs(over):
+        return out
+    open_ = open_[np.argsort(-s[open_], kind="stable")]
+    left, right = open_[::2], open_[1::2]
+    (many, words), (many_r, words_r) = _halves(s[left]), _halves(s[right])
+    want, want_words = float(p[open_].sum()), float((p * s)[open_].sum())
+    best = (np.inf, np.inf, 0, 0)
+    by_many = {k: (at := np.flatnonzero(many_r == k))[np.argsort(words_r[at], kind="stable")] for k in np.unique(many_r).tolist()}
+    for slack in range(len(open_) + 1):  # of documents; none unless the words would be far off
+        for total in {math.floor(want + EPS) - slack, math.ceil(want - EPS) + slack}:
+            for k, at in by_many.items():
+                mine = np.flatnonzero(many == total - k)
+                if not len(mine):
+                    continue
+                near = np.searchsorted(words_r[at], want_words - words[mine])
+                for shift in (-1, 0):
+                    other = at[np.clip(near + shift, 0, len(at) - 1)]
+                    over = np.abs(words[mine] + words_r[other] - want_words)
+                    i = int(over.argmin())
+                    best = min(best, (float(over[i]), abs(total - want), int(mine[i]), int(other[i])))
+        if best[0] <= max(1.0, NEAR * want_words):
             break
-        out[turn] = 1 - out[turn]
-        over = rest
+    for which, mask in ((left, best[2]), (right, best[3])):
+        out[which] = (mask >> np.arange(len(which))) & 1
     return out
 
 
 def _fly(seed: int, level: int, last: bool):
     def run(t: pa.Table) -> pa.Table:
-        # Long documents are decided first, so that short ones are left to land.
         t = t.sort_by([("size", "descending"), ("doc_id", "ascending"), ("unit", "ascending")])
         rng = np.random.default_rng([seed, level, t.column("rank")[0].as_py(), t.column("block")[0].as_py()])
-        size = t.column("size").to_numpy()
-        p = flight(t.column("p").to_numpy(), size, rng)
+        size, p = t.column("size").to_numpy(), t.column("p").to_numpy().copy()
+        flown = ~reserve(p, size) if last else np.ones(len(p), bool)
+        p[flown] = flight(p[flown], size[flown], rng)
         return t.set_column(t.schema.get_field_index("p"), "p", pa.array(land(p, size) if last else p))
 
     return run
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
-    """rank, source, n, source_size and target of each source.  The table has a row for each source."""
-    spark = sizes.sparkSession
+    """rank, source, n, source_size and target of each source.  There may be many sources: they are ranked by ranges,
+    each of which is counted, and the ranges before it are added."""
     per = sizes.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
-    per = per.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    order = F.col("source").asc_nulls_last()
+    per = cut(per.repartitionByRange(order).sortWithinPartitions(order).withColumn("place", F.monotonically_increasing_id()), "ranked")
+    span, inside = F.shiftright("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
+    # One row for each range: spark.sql.shuffle.partitions at most.
+    before = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = per.groupBy(span.alias("span")).agg(F.count("*").alias("many")).select("span", F.coalesce(F.sum("many").over(before), F.lit(0)).alias("before"))
+    per = per.withColumn("span", span).join(F.broadcast(spans), "span").withColumn("rank", F.col("before") + inside).drop("span", "before", "place")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
-    per = cut(per.withColumn("weight", weight), "sources", 1)  # a row for each source
+    per = cut(per.withColumn("weight", weight), "sources")
     total = float(per.agg(F.sum("source_size")).first()[0] or 0)
     share, was = 0.0, -1
     # Each round stops more sources; with none above its bound, the shares are final.
@@ -150,18 +177,19 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 7) -> DataFrame:
-    """doc_id, source, h (a hash of its text), size, source_size, target and copies (how often it is taken) of
+    """doc_id, source, h (a hash of its text and source), size, source_size, target and copies (how often it is taken) of
     each row of ``docs`` (doc_id, source, text)."""
     ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("h"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text", F.col("source").cast("string")).alias("h"), "text")
     return _mixed(docs.mapInArrow(_sizes, "doc_id long, source string, h long, size long"), weights, most, seed)
 
 
 def take(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 7) -> DataFrame:
     """The rows of the mix, with all columns of ``docs``: each as often as it is taken."""
     i, h, n, times, copy = fresh(docs.columns, "__id", "__h", "__n", "__times", "__copy")
-    same = Window.partitionBy(i, h).orderBy(F.lit(0))  # tells equal rows of an id apart
-    mine = docs.withColumn(i, F.col("doc_id").cast("long")).withColumn(h, F.xxhash64("text")).withColumn(n, F.row_number().over(same)).alias("d")
+    same = Window.partitionBy(i, h).orderBy(F.lit(0))  # tells rows of an id apart that agree in source and text
+    mine = docs.withColumn(i, F.col("doc_id").cast("long")).withColumn(h, F.xxhash64("text", F.col("source").cast("string")))
+    mine = mine.withColumn(n, F.row_number().over(same)).alias("d")
     units = mix(docs, weights, most, seed).select(F.col("doc_id").alias(i), F.col("h").alias(h), F.col("copies").cast("int").alias(times))
     units = units.withColumn(n, F.row_number().over(same)).filter(F.col(times) > 0).alias("u")
     rows = mine.join(units, F.col(f"d.{i}").eqNullSafe(F.col(f"u.{i}")) & (F.col(f"d.{h}") == F.col(f"u.{h}")) & (F.col(f"d.{n}") == F.col(f"u.{n}")))
@@ -171,19 +199,18 @@ def take(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MO
 def _mixed(sizes: DataFrame, weights: tuple[float, ...], most: float, seed: int) -> DataFrame:
     sizes = cut(sizes.withColumn("unit", F.monotonically_increasing_id()), "sizes")
     goal = targets(sizes, weights, most)
-    largest, files = goal.agg(F.max("n"), F.ceil(F.sum("n") / 50_000)).first()
-    largest = largest or 0
+    largest = goal.agg(F.max("n")).first()[0] or 0
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     units = sizes.join(goal, sizes.source.eqNullSafe(goal.source)).select(
         "unit", "doc_id", "h", sizes.source, "size", "rank", "n", "source_size", "target", F.floor(rate).alias("base"), (rate - F.floor(rate)).alias("p")
     )
     blocks = max(1, math.ceil(largest / BLOCK))
     block = F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("n") / F.lit(BLOCK))).cast("long")
-    flown = "unit long, doc_id long, size long, rank int, block long, p double"
+    flown = "unit long, doc_id long, size long, rank long, block long, p double"
     level, done = 0, []
     fly = units.filter((F.col("p") > EPS) & (F.col("p") < 1 - EPS)).select("unit", "doc_id", "size", "rank", block.alias("block"), "p")
     while True:
-        after = cut(fly.groupBy("rank", "block").applyInArrow(_fly(seed, level, blocks == 1), flown), "flight", files)
+        after = cut(fly.groupBy("rank", "block").applyInArrow(_fly(seed, level, blocks == 1), flown), "flight")
         open_ = (F.col("p") > EPS) & (F.col("p") < 1 - EPS)
         done.append(after.filter(~open_).select("unit", "p"))
         if blocks == 1:

@@ -211,17 +211,67 @@ def test_mix(spark, sf_dir):
     for s, g in got.groupby("source"):
         assert g.target.iloc[0] == pytest.approx(target[s]) and g.source_size.iloc[0] == sizes[s]
         assert abs(g.taken.sum() - target[s]) <= max(60, 0.02 * target[s])
+        rate = target[s] / sizes[s] if sizes[s] else 0
+        assert abs((g.taken / g["size"].clip(lower=1)).round().sum() - rate * (g["size"] > 0).sum()) <= 3  # documents
     assert (got.taken <= 3 * got["size"]).all()
 
 
+def test_many_sources_are_ranked_by_ranges(spark):
+    rows = [(i, "w " * (i % 7 + 1), f"host{i * 37 % 501:04d}é" if i % 501 else None) for i in range(1503)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)).toPandas()
+    sizes = got.groupby("source", dropna=False)["size"].sum()
+    order = sorted(sizes.index[sizes.index.notna()]) + [None]
+    rank = {s: i for i, s in enumerate(order)}
+    weight = {s: (5, 2, 1)[rank[s] % 3] for s in order}
+    size = {s: int(sizes[s]) if s is not None else int(sizes[sizes.index.isna()].iloc[0]) for s in order}
+    held, share = set(), 0.0
+    while True:
+        share = (sum(size.values()) - sum(3 * size[s] for s in held)) / sum(weight[s] for s in order if s not in held)
+        over = {s for s in order if 3 * size[s] <= weight[s] * share}
+        if over == held:
+            break
+        held = over
+    for r in got.itertuples():
+        s = r.source if isinstance(r.source, str) else None
+        assert r.target == pytest.approx(3.0 * size[s] if s in held else weight[s] * share)
+
+
+def test_take_tells_sources_apart(spark):
+    rows = [(1, "same text here", "a")] * 3 + [(1, "same text here", "b"), (2, "b " * 30, "b"), (3, "a " * 5, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    times = collections.Counter((r.doc_id, r.source) for r in mixing.take(docs).collect())
+    mixed = mixing.mix(docs).groupBy("doc_id", "source").agg(F.sum("copies").alias("n")).collect()
+    assert times == {(r.doc_id, r.source): r.n for r in mixed if r.n}
+
+
 def test_flight_keeps_the_totals():
-    rng = np.random.default_rng(0)
-    p, s = rng.random(400), rng.integers(1, 900, 400)
-    after = mixing.flight(p, s, rng)
-    assert after.sum() == pytest.approx(p.sum()) and (after * s).sum() == pytest.approx((p * s).sum())
-    assert ((after > 1e-9) & (after < 1 - 1e-9)).sum() <= 2
-    landed = mixing.land(after, s)
-    assert set(landed) <= {0.0, 1.0} and abs((landed * s).sum() - (p * s).sum()) < 30
+    """And landing changes nothing that the flight decided: words come out within a few, documents within one."""
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        p, s = rng.random(400), np.sort(np.exp(rng.normal(5, 1, 400)).astype(int) + 1)[::-1]
+        wait = mixing.reserve(p, s)
+        after = p.copy()
+        after[~wait] = mixing.flight(p[~wait], s[~wait], rng)
+        assert after.sum() == pytest.approx(p.sum()) and (after * s).sum() == pytest.approx((p * s).sum())
+        open_ = (after > 1e-9) & (after < 1 - 1e-9)
+        assert open_.sum() <= 2 + mixing.RESERVE and (after == p)[wait].all()
+        landed = mixing.land(after, s)
+        assert set(landed) <= {0.0, 1.0} and (landed == np.round(after))[~open_].all()
+        assert abs((landed * s).sum() - (p * s).sum()) <= 3 and abs(landed.sum() - p.sum()) < 1 + 1e-6
+
+
+def test_landing_is_the_nearest():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 5, 9):
+        p, s = rng.random(n), rng.integers(0, 90, n)
+        ways = [np.array(w) for w in itertools.product((0, 1), repeat=n)]
+        over = lambda w: abs((w * s).sum() - (p * s).sum())  # noqa: E731, B023
+        got = mixing.land(p, s)
+        for slack in range(n + 1):
+            fit = min((over(w) for w in ways if abs(w.sum() - p.sum()) < 1 + slack), default=np.inf)
+            if fit <= max(1.0, mixing.NEAR * (p * s).sum()):
+                break
+        assert over(got) == pytest.approx(fit)
 
 
 def test_flight_is_unbiased():
