@@ -443,6 +443,33 @@ def test_top_products(spark, sf_dir, monkeypatch):
     assert got.sort_values(key).astype("int64").values.tolist() == expected.sort_values(key)[got.columns].astype("int64").values.tolist()
 
 
+def test_cells_prune_and_copies_are_split(spark, monkeypatch):
+    """Clustered vectors, one of them a third of all rows, against all products."""
+    monkeypatch.setattr(ball_tree, "SHARD", 50)
+    monkeypatch.setattr(ball_tree, "QUERIES", 6)
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(6, 8)) * 4
+    x = (centre[rng.integers(0, 6, 600)] + 0.3 * rng.normal(size=(600, 8))).astype(np.float32)
+    x[rng.random(600) < 0.33] = x[7]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = ball_tree.top_products(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4), F.col("vec_id") % 20 == 0).toPandas()
+    whole = np.floor(256 * x.astype(float)).astype(np.int64)
+    expected = [(q, r + 1, v, -s) for q in range(0, 600, 20) for r, (s, v) in enumerate(sorted((-int(whole[q] @ whole[v]), v) for v in range(600) if v != q)[:5])]
+    assert sorted(map(tuple, got[["query_id", "rank", "vec_id", "score"]].values.tolist())) == expected
+    shards = [pa.RecordBatch.from_pylist([{"home": 0, "block": 0, "q_width": 8, "q_ids": np.arange(1).tobytes(), "q": centre[:1].tobytes(), "floors": np.array([0.9 * float(centre[0] @ centre[0])]).tobytes()}])]
+    aimed = pa.Table.from_batches(ball_tree._aim(centre, np.full(6, 0.1))(iter(shards))).to_pylist()
+    assert {r["cell"] for r in aimed} == set(np.flatnonzero(centre @ centre[0] + 0.1 * np.linalg.norm(centre[0]) >= 0.9 * centre[0] @ centre[0]).tolist())
+
+
+def test_products_beyond_doubles(spark):
+    """Exact up to 64 bits, at its ends beyond them."""
+    rows = [(0, [1.5 * 2.0**20, 3.0]), (1, [2.0**20, 1 / 256]), (2, [2.0**20, 2 / 256]), (3, [1e18, 0.0]), (4, [-1e18, 0.0]), (5, [2.0**20, -(2.0**20)])]
+    got = ball_tree.top_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    q = [int(256 * v) for v in rows[0][1]]
+    exact = {i: min(max(sum(a * int(256 * b) for a, b in zip(q, v)), -(2**63)), 2**63 - 1) for i, v in rows[1:]}
+    assert [(r.vec_id, r.score) for r in got] == sorted(exact.items(), key=lambda x: (-x[1], x[0])) and exact[3] == 2**63 - 1 and exact[2] == exact[1] + 768
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 1.0]), (50, [1.0, None]), (100, [float("nan"), 1.0]), (150, None), (1, [1.0, 1.0]), (2, [1.0, 1.0]), (3, [float("inf"), 0.0]), (None, [1.0, 1.0]), (4, [-1.0, 0.001])]
     got = ball_tree.top_products(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).orderBy("rank").collect()
@@ -568,6 +595,50 @@ def test_short_lines(spark):
     assert left[1] == mixed and left[4] == rows[3][1] and not {2, 3} & set(left)
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_repeated_rows_keep_their_lines(spark, parts):
+    """Rows with one id and text are one document, in one batch or in several."""
+    text = "one two three four five six\nseven eight nine ten eleven twelve"
+    rows = [(1, text)] * 2 + [(4, text.upper())] * 2 + [(2, "one two three four five six seven"), (0, "a line of its own that is here"), (None, text)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    left = collections.Counter((r.doc_id, r.text, r.n_dropped) for r in line_dedup.drop_duplicate_lines(df).collect())
+    assert left == collections.Counter([(1, text, 0)] * 2 + [(4, "", 2)] * 2 + [(2, "", 1), (0, rows[5][1], 0), (None, text, 0)])
+
+
+def test_a_batch_settles_what_its_lines_share():
+    """A line, a half and a deletion that very many lines share send few rows, and every line is still accounted for."""
+    n = 3000
+    part = [f"this line is the same in all\na half that is shared by all of these then n{i} its own words a{i} b{i} c{i} d{i}\npage {i} of the very same document" for i in range(n)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + 1000)), pa.array(part[k : k + 1000])], ["doc_id", "text"]) for k in range(0, n, 1000)]
+    out = pa.Table.from_batches(line_dedup._emit(iter(batches))).to_pandas()
+    emitted = out[out.place.isin([line_dedup.WHOLE, line_dedup.HALF])]
+    assert emitted.groupby("key").size().max() <= 2 * len(batches)
+    assert ((out.place == line_dedup.KNOWN) & (out.line_no == 0)).sum() == n - 1
+    known = out[out.place == line_dedup.KNOWN]
+    assert (known.m_doc < known.doc_id).all()
+    lines = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([2] * n, pa.int32()), pa.array([t.split("\n")[2] for t in part])], ["l_doc", "l_line", "l_text"])
+    out = pa.Table.from_batches(line_dedup._emit_words(iter([lines]))).to_pandas()
+    assert out[out.place != line_dedup.KNOWN].groupby(["key", "place"]).size().max() == 1
+    assert set(out[out.place == line_dedup.KNOWN].doc_id) == set(range(1, n))
+
+
+@pytest.mark.parametrize("words_", [(5, 12), (12, 40), (40, 200)])
+def test_every_kind_of_edit_at_any_length(spark, words_):
+    """Random replacements, deletions and insertions against a plain comparison of all lines."""
+    rng = np.random.default_rng(words_[1])
+    rows = []
+    for g in range(60):
+        base = [f"b{g}w{i}" for i in range(int(rng.integers(*words_)))]
+        rows.append((3 * g, " ".join(base)))
+        for k in (1, 2):
+            at, kind = int(rng.integers(0, len(base))), int(rng.integers(0, 4))
+            w = base[:at] + [f"e{rng.integers(0, 3)}"] * (kind != 1) + base[at + (kind != 2) :]
+            rows.append((3 * g + k, "  ".join(w[:-2] if kind == 3 else w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = {(r.doc_id, r.line_no) for r in line_dedup.duplicate_lines(df).collect()}
+    assert found == word_edits(rows, 1, 5) and len(found) > 60
+
+
 def test_one_edit():
     brute = lambda x, y: any(x[:i] + x[i + 1 :] == y[:j] + y[j + 1 :] and i == j for i in range(len(x)) for j in range(len(y))) or any(x[:i] + x[i + 1 :] == y for i in range(len(x))) or any(y[:i] + y[i + 1 :] == x for i in range(len(y))) or x == y
     for n, m in itertools.product(range(4), repeat=2):
