@@ -5,10 +5,8 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,8 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SHIPPED: set[str] = set()
-
+from .. import shipping
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables in ``sf_dir``."""
@@ -25,36 +22,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 BATCH_BYTES = 8 << 20
+EXAMPLE_BYTES = 1 << 16  # longer texts teach no model, which bounds what samples bring to the driver
 
 
 def ship(spark: SparkSession) -> None:
-    """Give every executor this package, once for each Spark application, and bound the Arrow batches of the
-    session: JVM and Python worker each hold one."""
+    """Give every executor this package, and bound the Arrow batches of the session: JVM and Python worker each
+    hold one."""
     limit = "spark.sql.execution.arrow.maxBytesPerBatch"
     if not 0 < int(str(spark.conf.get(limit)).rstrip("b")) <= BATCH_BYTES:
         spark.conf.set(limit, str(BATCH_BYTES))
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    if os.path.isdir(root):
-        out = os.path.join(tempfile.mkdtemp(prefix="marklake-"), "marklake.zip")
-        with zipfile.ZipFile(out, "w") as z:
-            for top, _, names in os.walk(root):
-                for n in names:
-                    if n.endswith(".py"):
-                        path = os.path.join(top, n)
-                        z.write(path, os.path.join("marklake", os.path.relpath(path, root)))
-        spark.sparkContext.addPyFile(out)
-    _SHIPPED.add(app)
+    shipping.ship(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share.  The session's ``spark.checkpoint.dir`` wins; a temporary one
-    is set only where none is configured (tests and single-machine use)."""
+    """The folder all executors share.  The session's ``spark.checkpoint.dir`` wins; where none is configured, a
+    temporary one is set on a local master (tests and single-machine use), and any other is an error."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="marklake-shared-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
@@ -64,13 +51,10 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/marklake-{tag}-{uuid.uuid4().hex[:12]}"
 
 
-def cut(df: DataFrame, tag: str, files: int | None = None) -> DataFrame:
+def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and reread it: lineage ends there, so a lost executor costs no
-    recomputation of what stands above, and Python stages run once however often the result is used.
-    ``files``: at most so many, where the number of rows is known beforehand to suit them; a shuffle of a
-    small table would otherwise leave a file for each of its partitions."""
+    recomputation of what stands above, and Python stages run once however often the result is used."""
     path = shared_path(df.sparkSession, tag)
-    df = df if files is None else df.coalesce(max(1, files))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

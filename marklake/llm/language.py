@@ -8,8 +8,8 @@ ending with one: contexts do not reach over spaces, so a word always costs the s
 length of a text is the sum over its words.  The language with the shortest code is predicted; the score
 is its share after ``TEMPER`` of the bits, 0 to 1.
 
-Fitted on at most ``SAMPLE`` different texts of each language, those with the smallest hashes; prediction
-covers every whole text.  Case of A-Z, punctuation and spacing carry no weight.
+Fitted on at most ``SAMPLE`` documents of each language, those with the smallest hashes of their ids, each text once
+and none above ``EXAMPLE_BYTES``; prediction covers every whole text.  Case of A-Z, punctuation and spacing carry no weight.
 
 Texts that are null or hold no letter give ``und``, as all do if nothing is learned; ties go to the
 smaller name.  Repeated rows get equal results; null ids are passed through and count as learnable; an
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import mod_of_id, pieces, ship, table
+from .common import EXAMPLE_BYTES, mod_of_id, pieces, ship, table
 from .words import plain_words
 
 ORDER = 4
@@ -108,16 +108,16 @@ def grow(words: dict[str, Counter]) -> Trees:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Trees:
-    """Trees from at most ``sample`` different texts of each language of ``docs`` (doc_id, text, lang)."""
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("h"))
-    texts = known.groupBy("lang", "h").agg(F.min("doc_id").alias("doc_id"))
+    """Trees from at most ``sample`` documents of each language of ``docs`` (doc_id, text, lang)."""
+    known = docs.filter(F.col("lang").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"))
     # The first of each of SALTS parts of a language, then of all: no task sees a whole language.
     part = F.pmod("h", F.lit(SALTS))
-    some = texts.withColumn("n", F.row_number().over(Window.partitionBy("lang", part).orderBy("h"))).filter(F.col("n") <= sample)
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    # A bounded number of ids for each language comes to the driver, then their texts.
+    some = known.withColumn("n", F.row_number().over(Window.partitionBy("lang", part).orderBy("h", "doc_id"))).filter(F.col("n") <= sample)
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    # A bounded number of ids for each language comes to the driver, then their texts, of bounded length.
     chosen = {r.doc_id for r in some.withColumn("n", first).filter(F.col("n") <= sample).select("doc_id").collect()}
-    got = docs.filter(F.col("doc_id").isin(list(chosen))).select("text", "lang").toArrow() if chosen else None
+    texts = docs.filter(F.col("doc_id").isin(list(chosen)) & (F.octet_length("text") <= EXAMPLE_BYTES) & F.col("lang").isNotNull())
+    got = texts.select("text", "lang").distinct().toArrow() if chosen else None
     words: dict[str, Counter] = defaultdict(Counter)
     for t, lang in zip(got.column("text"), got.column("lang").to_pylist()) if got else ():
         unique, ids, _ = plain_words(pa.array([t.as_py()], pa.string()))

@@ -8,7 +8,7 @@ lines, and the base rules do not fail it.
 Labels are known for documents only, so the field is fitted by alternating: lines start with the label of
 their document; then the field is fitted (forward-backward gradients) and the lines of bad documents are
 decoded anew, keeping boilerplate where at least one line is.  It is fitted on at most ``SAMPLE`` labelled
-documents of each quality, those with the smallest hashes of their ids; everything else covers all rows.
+documents of each quality, those with the smallest hashes of their ids, without texts above ``EXAMPLE_BYTES``; everything else covers all rows.
 
 Null, empty and wordless texts have no words and fail the base rules.  Without labels of both kinds every
 line counts as content.  Repeated rows get equal results; null ids are passed through; other columns are
@@ -26,11 +26,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import claim, pieces, ship, table
+from .common import EXAMPLE_BYTES, claim, pieces, ship, table
 from .words import U64, mix, sums, text_bytes
 
 SAMPLE = 1500
 SHARE = 0.5
+ENOUGH = 5e-3  # the steepest slope at which fitting ends
 WINDOW = 24  # lines of a training sequence
 SPACE, START, SYMBOL, UPPER, LOWER, DIGIT, MARK = (1 << i for i in range(7))
 CLASS = np.zeros(256, np.uint8)
@@ -225,6 +226,8 @@ def fit_field(features: np.ndarray, doc: np.ndarray, good: np.ndarray, rounds: i
             joint = np.exp(forward[:, :-1, :, None] + turn + (e[:, 1:] + backward[:, 1:])[:, :, None, :] - z[:, None, None, None]) * pairs[..., None, None]
             expected = np.concatenate([np.bincount(at.ravel(), content.ravel(), len(doc)) @ features, joint.sum((0, 1)).ravel()])
             g = (seen - expected) / len(at) - 1e-3 * w
+            if np.abs(g).max() < ENOUGH:
+                break
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             w = w + 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         field = Field(w[:d], w[d:].reshape(2, 2))
@@ -242,7 +245,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
         chosen = part if chosen is None else chosen.unionByName(part)
     # At most 2 * sample rows are broadcast and collected.
     rows = {r.quality: r["count"] for r in labels.filter(F.col("quality").isin(0, 1)).groupBy("quality").count().collect()}
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").toArrow()
+    short = docs.select("doc_id", "text").filter(F.octet_length("text") <= EXAMPLE_BYTES)
+    got = short.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").toArrow()
     if not got.num_rows:
         return fit_field(np.zeros((0, 1)), np.zeros(0, np.int64), np.zeros(0, bool))
     text = got.column("text").combine_chunks()

@@ -18,7 +18,7 @@ from .common import claim
 from .words import as_list
 
 END_ID = 1
-GENERATION = 400_000
+GENERATION = 200_000
 ENCODED_BYTES = 8 << 20  # of text at a time; the more, the fewer times a word is looked up
 TAIL = b".,!?:;"
 PLAIN = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")

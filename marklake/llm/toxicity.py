@@ -35,10 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import claim, lists, mod_of_id, pieces, ship, table
+from .common import EXAMPLE_BYTES, claim, lists, mod_of_id, pieces, ship, table
 from .words import plain_words
 
-SAMPLE, EXAMPLE_BYTES = 2000, 1 << 16
+SAMPLE = 2000
 CALIBRATION = 4  # every so many-th example calibrates
 FLOOR, CHI = 0.01, 24.0
 K, BLOCK, FIRST, COMMON = 50, 64, 4, 8

@@ -70,6 +70,39 @@ def test_token_files_round_trip(spark, sf_dir, tmp_path):
     assert query.ids_crc32.tolist() == crc
 
 
+def scanned(df):
+    """Rows that the file scan of a query gave out."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = (plan.executedPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan).collectLeaves()
+    return leaves.apply(0).metrics().apply("numOutputRows").value()
+
+
+def test_lookup_prunes_by_statistics_and_bloom_filters(spark, tmp_path):
+    """Even ids only, dealt to ranges: an id beyond all, and an odd one between them, cost no rows."""
+    path = str(tmp_path / "ids")
+    docs = spark.range(0, 40_000, 2).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"))
+    token_files.write_ids(docs, path, tokens.vocabulary())
+    import glob
+
+    import pyarrow.orc as orc
+
+    files = [orc.ORCFile(f) for f in glob.glob(path + "/*.orc")]
+    assert sum(f.nrows for f in files) == 20_000 and all(f.row_index_stride == token_files.INDEX_STRIDE and str(f.compression).upper().endswith("ZSTD") for f in files)
+    assert scanned(spark.read.schema(token_files.ROW).orc(path)) == 20_000
+    one = token_files.lookup(spark, path, [20_004])
+    assert one.count() == 1 and scanned(one) <= token_files.INDEX_STRIDE
+    assert scanned(token_files.lookup(spark, path, [50_001])) == 0  # statistics
+    assert scanned(token_files.lookup(spark, path, [20_003])) == 0  # Bloom filter: within the range, not there
+    odd = [20_003 + 2 * k for k in range(200)]
+    assert sum(scanned(token_files.lookup(spark, path, [i])) > 0 for i in odd[:12]) <= 3
+
+
+def test_token_query_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    assert token_files.op4_token_files(spark, str(tmp_path)).count() == 0 and packing.op8_packing(spark, str(tmp_path)).count() == 0
+
+
 # near duplicates --------------------------------------------------------------------------------------------
 
 
@@ -509,6 +542,25 @@ def test_packs_fill_their_sequences(lengths):
     assert [used[k] for k in range(len(room))] == room and sum(room) == sum(lengths)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 63), min_size=1, max_size=30))
+def test_pieces_go_where_it_costs_least(lengths):
+    """Step by step: descending documents, each to the cheapest sequence that has room for it, else cut at the cheapest with any."""
+    cost, room = collections.defaultdict(float), dict(enumerate(packing.capacities(sum(lengths), 64)))
+    left = {i: n for i, n in enumerate(lengths)}
+    order = sorted(left, key=lambda i: (-lengths[i], i))
+    for i, start, n, k, _ in packing.pack(np.array(lengths), 64):
+        assert i == order[0] and start == lengths[i] - left[i]
+        whole = [j for j in room if room[j] >= left[i]]
+        best = min(whole or [j for j in room if room[j] > 0], key=lambda j: (cost[j], j))
+        assert k == best and n == min(left[i], room[best])
+        room[k], left[i] = room[k] - n, left[i] - n
+        cost[k] += packing.LINEAR * n + packing.QUADRATIC * n**2
+        if not left[i]:
+            order.pop(0)
+    assert not order
+
+
 # line dedup -------------------------------------------------------------------------------------------------
 
 
@@ -663,6 +715,21 @@ def test_lookup_table():
             sharding.lookup_table(*bad)
 
 
+@pytest.mark.parametrize("n,size", [(1, 7), (3, 11), (7, 101)])
+def test_lookup_table_turn_by_turn(n, size):
+    """Each shard's permutation written out; then turns."""
+    import hashlib
+
+    names = [f"shard {i}" for i in range(n)]
+    draw = lambda t, m: int.from_bytes(hashlib.md5(t.encode()).digest()[:8], "little") % m
+    prefers = [[(draw("offset:" + s, size) + j * (draw("skip:" + s, size - 1) + 1)) % size for j in range(size)] for s in names]
+    assert all(sorted(p) == list(range(size)) for p in prefers)
+    owner = {}
+    for turn in range(size):
+        owner[next(slot for slot in prefers[turn % n] if slot not in owner)] = turn % n
+    assert sharding.lookup_table(names, size).tolist() == [owner[i] for i in range(size)]
+
+
 def test_shards(spark, sf_dir):
     got = sharding.op10_sharding(spark, sf_dir).toPandas()
     table = sharding.lookup_table([f"shard-{i:03d}" for i in range(96)])
@@ -732,3 +799,34 @@ def test_pipeline(spark, sf_dir):
     assert set(mixed.doc_id) <= set(near.doc_id) and mixed.groupby("doc_id").size().max() <= 3
     packed = p.run(spark, sf_dir).toPandas()
     assert packed.groupby(["doc_id"]).doc_tokens.first().sum() > 0 and packed.length.sum() == packed[packed.start == 0].doc_tokens.sum()
+
+
+CLASH = [("doc_id", "long"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "long"), ("n_dropped", "int"), ("kept", "string"), ("component_id", "int"), ("__found", "int"), ("size", "string"), ("__copy", "int"), ("key", "string")]
+
+
+@pytest.mark.parametrize("kind", ["odd", "empty"])
+def test_pipeline_of_odd_tables(spark, tmp_path, kind):
+    """Nulls, repeated rows, ties, empty and long texts and clashing columns, through every stage; and no rows at all."""
+    import corpus_pipeline as p
+
+    own = lambda k: f"Document {k} says that " + ", ".join(f"thing{k}x{i} is near place{k}y{i}" for i in range(60)) + f".\nIts last line has word{k}a and word{k}b and then word{k}c."
+    rows = [(k, own(k), "en", "s" if k % 2 else None, 5) for k in range(6)]
+    rows += [rows[3], (30, own(3), "en", "s", 5), (None, own(7), None, "s", None), (8, None, None, None, None), (9, "", "en", "s", 0), (31, own(4).replace("says that", "told us").replace("last line has", "end got"), "en", "t", 7), (32, own(8) + "\n" + "w1 w2 w3 " * 40_000 + "\n" + own(9), "en", "t", 1)]
+    schema = ", ".join(" ".join(c) for c in CLASH)
+    docs = spark.createDataFrame([(*r, 1, "k", 2, 3, "z", 4, "y") for r in rows] if kind == "odd" else [], schema)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, 1, 0) for k in range(6)] + [(8, 0, 0)] if kind == "odd" else [], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    at, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for name, stage in p.STAGES[:-1]:
+        at = spark.createDataFrame(stage(spark, at, str(tmp_path)).collect(), docs.schema)
+        assert at.columns == docs.columns, name
+        kept.append(at.toPandas())
+    packed = p.run(spark, str(tmp_path)).toPandas()
+    if kind == "empty":
+        assert not len(packed) and not any(map(len, kept))
+        return
+    rules, lines, near, mixed = kept
+    assert {8, 9, 32}.isdisjoint(rules.doc_id.dropna()) and set(range(6)) <= set(rules.doc_id.dropna()) and (rules.doc_id == 3).sum() == 2
+    assert 30 not in set(lines.doc_id) and (lines[lines.doc_id == 3].text == own(3)).all() and lines.doc_id.isna().sum() == 1
+    assert set(near.doc_id.dropna()) == set(lines.doc_id.dropna()) - {31} and near.doc_id.isna().sum() == 1
+    assert len(mixed) and set(mixed.doc_id.dropna()) <= set(near.doc_id.dropna()) and set(packed.doc_id.dropna()) == set(mixed.doc_id.dropna())
