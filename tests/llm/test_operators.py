@@ -156,23 +156,46 @@ def templated(n, own, tag="d"):
     return [(i, " ".join(base[:70] + [f"{tag}{i}w{k}" for k in range(own)] + base[70 + own :])) for i in range(n)]
 
 
-def test_templated_texts_meet_only_where_they_share_more(spark):
+def test_templated_texts_meet_only_where_they_share_more(spark, monkeypatch):
     """Texts of one template at a similarity of 0.75: what is compared grows with them, not with their square."""
     for n in (300, 1200):
-        rows = spark.createDataFrame([(d, 0, d, near_dedup.shingles(near_dedup._HASH.of(t.encode().split())).view(np.int64).tolist()) for d, t in templated(n, 18)], "id long, variant long, comp long, members array<long>")
+        rows = spark.createDataFrame([(d, 0, near_dedup.shingles(near_dedup._HASH.of(t.encode().split())).view(np.int64).tolist()) for d, t in templated(n, 18)], "id long, variant long, members array<long>")
         code = rows.select("id", *[F.lit(0).cast("long").alias(f"c{i}") for i in range(4)])  # lets all through
-        assert near_dedup.sharing_rare(rows, code, 85).count() == 0
-        assert near_dedup.sharing_rare(rows, code, 70).limit(1).count() == 1
+        comp = rows.select("id", F.col("id").alias("comp"))
+        compared = []
+        monkeypatch.setattr(near_dedup, "_linked", lambda x, y, percent: F.lit(True))  # what is compared in full
+        for percent in (85, 70):
+            compared.append(near_dedup.sharing_rare(near_dedup.by_rarity(rows, percent), comp, code, rows, percent).count())
+        assert compared == [0, n * (n - 1) // 2]
+    monkeypatch.undo()
     docs = [*templated(400, 18), *((1000 + d, t) for d, t in templated(100, 2, "e")), (2000, templated(8, 18)[7][1] + " and more")]
     got = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).toPandas()
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got.itertuples()} == brute_components(docs)
 
 
+def test_copies_of_one_original_meet_in_the_middle(spark, monkeypatch):
+    """Copies that each differ from the original in their own way, and from each other too much: no pairs are left to compare."""
+    rng = np.random.default_rng(2)
+    base = [f"b{i}" for i in range(200)]
+    rows = [(777, " ".join(base))]
+    for d in range(300):
+        w = list(base)
+        for at in rng.choice(40, 3, replace=False) * 5:
+            w[at] = f"d{d}at{at}"
+        rows.append((d, " ".join(w)))
+    pairs = []
+    monkeypatch.setattr(near_dedup, "sharing_rare", lambda *a, was=near_dedup.sharing_rare: pairs.append(a[1].count()) or was(*a))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert sum(pairs) <= 30
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got.itertuples()} == brute_components(rows)
+
+
 @pytest.mark.parametrize("tile", [0, 3])
 def test_rare_shingles_lose_no_link(spark, monkeypatch, tile):
     """All buckets split by rare shingles, one round of leaders: sizes and similarities on both sides of the bound."""
     monkeypatch.setattr(near_dedup, "TILE", tile)
     monkeypatch.setattr(near_dedup, "ROUNDS", 1)
+    monkeypatch.setattr(near_dedup, "MIDDLES", tile // 3)
     rng = np.random.default_rng(12)
     rows = []
     for g in range(12):
