@@ -77,6 +77,29 @@ def segments_by_marker(documents: DataFrame, key: str, marker: str = r"(?i)(?:^|
     return d.withColumn("n", first).filter("n = 1").select(key, "number", "segment")
 
 
+def strip_prompt(segment: Column | str, prompt: Column | str) -> Column:
+    """The segment without the prompt it repeats: if the beginning of the normalized prompt (18 to 55 letters) stands in
+    it, as many words as the prompt has are taken off its front, unless that left nothing."""
+    seg, p = F.trim(F.coalesce(text.col(segment), F.lit(""))), text.normalize(prompt)
+    head = F.substring(p, 1, 55)
+    said = F.filter(F.split(seg, r"\s+"), lambda w: w != "")
+    n = F.size(text.words(p))
+    rest = F.array_join(F.slice(said, n + 1, F.greatest(F.lit(1), F.size(said))), " ")
+    return F.when((p != "") & F.contains(text.normalize(seg), head) & (F.size(said) > n), rest).otherwise(seg)
+
+
+def engine_status(attempts: DataFrame, engines: list[str]) -> DataFrame:
+    """engine, tried, found, failed, confidence, available: how the engines did over ``attempts`` (engine, confidence,
+    found, and a message where one failed); engines that were never tried are listed too."""
+    known = attempts.sparkSession.createDataFrame([(e,) for e in engines], "engine string")
+    seen = attempts.groupBy("engine").agg(
+        F.count("*").alias("tried"), F.sum(F.col("found").cast("int")).alias("found"), F.sum((F.coalesce("message", F.lit("")) != "").cast("int")).alias("failed"),
+        F.round(F.avg(F.when(F.col("found"), F.col("confidence"))) + 1e-9, 2).alias("confidence"),
+    )
+    out = known.join(seen, "engine", "left").fillna({"tried": 0, "found": 0, "failed": 0, "confidence": 0.0})
+    return out.withColumn("available", F.col("tried") > F.col("failed"))
+
+
 def safe_gate(filled: Column, direct: Column, segmentation: Column, questions: Column, has_raw: Column) -> Column:
     """Why a session's answers must not be graded, or null."""
     return F.when(filled == 0, "no answers").when((direct == 0) & (segmentation < 0.48) & (filled <= 1) & (questions > 1) & has_raw, "uncertain segmentation")

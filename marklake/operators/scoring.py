@@ -120,8 +120,8 @@ def enumeration(hits: Column, required: Column) -> Column:
 
 
 def score_answers(spark: SparkSession, answers: DataFrame, questions: DataFrame, targets: DataFrame) -> DataFrame:
-    """student_id, row_no, question_id, item_type, score, max_score, confidence, status and the counts behind
-    them for each row of ``answers`` (student_id, row_no, question_id, answer)."""
+    """student_id, row_no, question_id, item_type, score, max_score, confidence, status, the counts behind them
+    and the concepts that are missing for each row of ``answers`` (student_id, row_no, question_id, answer)."""
     q = questions.select(F.col("id").alias("question_id"), "item_type", "max_score", "prompt", "accepted_answers", F.col("constraints.required_number_of_items").alias("required"), F.size(F.coalesce("criteria", F.expr("array()"))).alias("n_criteria"))
     known = answers_view(answers.select("question_id", "answer")).select(*KEY, "tokens", "stems", "profile").dropDuplicates(KEY).join(q, "question_id")
     ev = evidence(known.join(expansions_of(spark, targets), "question_id"))
@@ -159,6 +159,7 @@ def score_answers(spark: SparkSession, answers: DataFrame, questions: DataFrame,
         F.sum(one).alias("matched"), F.sum(F.when(F.col("factor") > 0, 1).otherwise(0)).alias("partial"), F.sum(F.when(F.col("factor") >= 0.30, 1).otherwise(0)).alias("near"),
         F.sum(F.when(F.col("ok"), F.col("w")).otherwise(0.0)).alias("gained"), F.sum(F.col("w") * F.col("factor")).alias("half"), F.avg("shown").alias("shown"),
         F.sum(F.when(F.col("contradicted"), 1).otherwise(0)).alias("contradictions"), F.count("*").alias("concepts"),
+        F.sort_array(F.collect_list(F.when(~F.col("ok"), F.col("concept")))).alias("missing"),
     )
     s = known.join(flat, KEY, "left").join(paired, KEY, "left").join(per, KEY, "left")
     zero = {c: 0 for c in ("hits", "n_items", "matched", "partial", "near", "contradictions", "concepts", "support_best")}
@@ -198,6 +199,6 @@ def score_answers(spark: SparkSession, answers: DataFrame, questions: DataFrame,
     )
     blank = F.col("answer_norm") == ""
     s = s.withColumn("score", F.when(blank, 0.0).otherwise(score)).withColumn("confidence", F.when(blank, 0.1).otherwise(confidence))
-    s = s.select(*KEY, "item_type", "max_score", "profile", "score", "confidence", "matched", "partial", "concepts", "contradictions", "relations")
+    s = s.select(*KEY, "item_type", "max_score", "profile", "score", "confidence", "matched", "partial", "concepts", "contradictions", "relations", F.coalesce("missing", F.expr("array()").cast("array<string>")).alias("missing"))
     all_rows = answers.withColumn("answer_norm", text.normalize("answer")).join(s, KEY)
     return all_rows.withColumn("status", F.when(F.col("answer_norm") == "", "review").otherwise(status(F.col("confidence"))))

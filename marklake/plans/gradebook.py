@@ -46,12 +46,17 @@ def _class_sql() -> str:
 
 
 def items_sql(by: str) -> str:
-    return f"""WITH {BOOK}, s AS (
+    return f"WITH {BOOK}, {items_body(by)}"
+
+
+def items_body(by: str) -> str:
+    """Items of the graded rows ``b``."""
+    return f"""s_ AS (
   SELECT {by}, count(*) AS answers, avg(score) AS s, avg(confidence) AS c, avg(score) / max(max_score) * 100.0::DOUBLE AS p,
     {_rate("accepted")} AS a, {_rate("caution")} AS k, {_rate("review")} AS r
   FROM b GROUP BY {by}
 ), i AS (
-  SELECT *, {_class_sql()} AS classification FROM s
+  SELECT *, {_class_sql()} AS classification FROM s_
 ), items AS (
   SELECT {by}, answers, round(s + 1e-9::DOUBLE, 3) AS avg_score, round(p + 1e-9::DOUBLE, 2) AS avg_pct, {level_sql("p")} AS item_level, round(c + 1e-9::DOUBLE, 3) AS avg_confidence,
     round(a + 1e-9::DOUBLE, 2) AS accepted_pct, round(k + 1e-9::DOUBLE, 2) AS caution_pct, round(r + 1e-9::DOUBLE, 2) AS review_pct, classification,

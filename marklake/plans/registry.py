@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import gradebook, media, texts
+from . import gradebook, grading, media, texts
 
-_MODULES = (gradebook, texts, media)
+_MODULES = (gradebook, texts, grading, media)
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}

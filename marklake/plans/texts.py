@@ -6,7 +6,7 @@ is a target of question ``item_id % 8``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,6 +24,10 @@ def documents(s: SparkSession, d: str, *columns: str) -> DataFrame:
     return spread(READ(s, d, "documents").select("doc_id", "text", *columns))
 
 
+HEADS = 1 << 16
+MARKS = ["the", "and", "von", "und", "les", "des", "licensed", "version", "copyright", "email", "http", "software"]
+
+
 def norm_sql(x: str) -> str:
     return f"trim(regexp_replace(regexp_replace(strip_accents(lower(trim(coalesce({x}, '')))), '[^a-z0-9\\s/._-]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
@@ -76,10 +80,6 @@ def passages(s: SparkSession, d: str) -> DataFrame:
     return b.withColumn("variant_stems", F.array_distinct(text.stems(text.tokens("variant_norm"))))
 
 
-def pairs(s: SparkSession, d: str) -> DataFrame:
-    return answers(s, d).drop("answer").join(passages(s, d), "question_id")
-
-
 def normalize_text(s, d):
     return documents(s, d).select("doc_id", text.normalize("text").alias("n")).select("doc_id", F.length("n").alias("length"), F.md5("n").alias("digest"))
 
@@ -98,24 +98,29 @@ def length_profile(s, d):
     return answers(s, d).groupBy("profile").agg(F.count("*").alias("answers"))
 
 
-def token_overlap_match(s, d):
-    return pairs(s, d).select("conv_id", "turn", "item_id", text.overlap("stems", "variant_stems").alias("overlap"))
-
-
-def overlap_best_target(s, d):
-    """The best target of each answer, the first on ties."""
-    p = token_overlap_match(s, d).groupBy("conv_id", "turn").agg(F.max(F.struct("overlap", (-F.col("item_id")).alias("i"))).alias("b"))
-    return p.select("conv_id", "turn", (-F.col("b.i")).alias("item_id"), F.col("b.overlap").alias("overlap"))
-
-
 def contains_match(s, d):
-    """Passages whose first six words stand in a document, by equality of hashes of six-word windows instead
-    of a scan of all pairs."""
-    docs = documents(s, d).select("doc_id", text.words(text.normalize("text")).alias("w"))
-    windows = F.transform(F.sequence(F.lit(1), F.size("w") - 5), lambda i: F.xxhash64(F.slice("w", i, 6)))
-    grams = docs.filter(F.size("w") >= 6).select("doc_id", F.explode(F.array_distinct(windows)).alias("head"))
-    heads = READ(s, d, "benchmark").select("item_id", F.xxhash64(F.slice(text.words(text.normalize("text")), 1, 6)).alias("head"))
-    return grams.join(heads, "head").groupBy("item_id").agg(F.count("*").alias("documents"))
+    """Documents that hold a passage: those that share the hash of its first words (six, or all of a shorter one) are
+    candidates, and the whole normalized passage decides.  No scan of all pairs: windows that begin no passage are
+    dropped by a filter of at most ``HEADS`` bits before any shuffle."""
+    b = READ(s, d, "benchmark").select("item_id", text.normalize("text").alias("passage")).withColumn("w", text.words("passage")).filter("passage <> ''")
+    heads = b.select("item_id", "passage", F.least(F.size("w"), F.lit(6)).alias("length"), F.xxhash64(F.slice("w", 1, F.least(F.size("w"), F.lit(6)))).alias("head"))
+    lengths = [r.length for r in heads.select("length").distinct().collect()]  # 1 to 6
+    # A row of bits: 64 to a long, at most HEADS bits whatever the number of passages.
+    place = lambda h: F.pmod(h, F.lit(HEADS)).cast("int")
+    bits = heads.select(place(F.col("head")).alias("b")).distinct().groupBy(F.shiftright("b", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, b & 63)")).alias("bits"))
+    words = {r.at: r.bits for r in bits.collect()}  # HEADS / 64 rows at most
+    filled = F.lit([words.get(i, 0) for i in range(HEADS // 64)]) if words else F.array().cast("array<bigint>")
+    docs = documents(s, d).select("doc_id", text.normalize("text").alias("n")).withColumn("w", text.words("n"))
+
+    def windows(k: int) -> Column:
+        starts = F.when(F.size("w") >= k, F.sequence(F.lit(1), F.size("w") - (k - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, k)))
+
+    found = F.array_distinct(F.flatten(F.array(*[windows(k) for k in lengths]))) if lengths else F.array().cast("array<bigint>")
+    grams = docs.select("doc_id", "n", F.explode(found).alias("head"))
+    grams = grams.withColumn("h", place(F.col("head"))).filter(F.getbit(F.element_at(filled, F.shiftright("h", 6) + 1), F.col("h").bitwiseAND(63)) == 1)
+    hit = grams.join(heads, "head").filter(F.contains(F.concat(F.lit(" "), "n", F.lit(" ")), F.concat(F.lit(" "), "passage", F.lit(" "))))
+    return hit.groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"))
 
 
 def closed_exact_match(s, d):
@@ -133,9 +138,9 @@ def truefalse_score(s, d):
 
 
 def negation_window(s, d):
-    """Spanish documents that negate one of their first three meaningful words."""
-    t = documents(s, d, "lang").filter("lang = 'es'").select("doc_id", text.normalize("text").alias("n"))
-    t = t.withColumn("stems", F.array_distinct(F.slice(text.stems(text.tokens("n")), 1, 3)))
+    """Documents that negate one of their own meaningful words, whatever their language and length."""
+    t = documents(s, d).select("doc_id", text.normalize("text").alias("n"))
+    t = t.withColumn("stems", F.array_distinct(text.stems(text.tokens("n"))))
     return t.select("doc_id", text.negated("n", F.col("stems")).alias("negated"))
 
 
@@ -146,17 +151,29 @@ def relation_labels(s, d):
 
 
 def contradiction_flags(s, d):
-    """A made-up contradiction, told of every document: that its second word is its fifth."""
-    n = documents(s, d).select("doc_id", text.normalize("text").alias("n")).withColumn("w", text.words("n")).filter(F.size("w") >= 5)
-    n = n.withColumn("said", F.concat(F.get("w", F.lit(1)), F.when(F.col("doc_id") % 2 == 0, " es ").otherwise(" no es "), F.get("w", F.lit(4))))
-    return n.select("doc_id", diagnose.wrong_relation(F.col("said"), F.get("w", F.lit(1)), F.get("w", F.lit(4))).alias("wrong"))
+    """Nations said, in each of the ways of the lexicon, to be of some region; the region that the table doesn't give
+    them is the contradiction.  Denials and sentences of another region don't count."""
+    n = READ(s, d, "nation").join(READ(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", text.normalize("n_name").alias("concept"), text.normalize("r_name").alias("own"))
+    said = READ(s, d, "region").select("r_regionkey", text.normalize("r_name").alias("told"))
+    ways = s.createDataFrame([(i, w) for i, w in enumerate(WAYS)], "way int, shape string")
+    # Nations, regions and ways: as many rows as their three fixed lists give.
+    x = n.join(said, F.col("n_nationkey") >= 0).join(ways, F.col("way") >= 0)
+    x = x.withColumn("sentence", F.replace(F.replace("shape", F.lit("{c}"), F.col("concept")), F.lit("{v}"), F.col("told")))
+    return x.select("n_nationkey", "r_regionkey", "way", (diagnose.wrong_relation(F.col("sentence"), F.col("concept"), F.col("told")) & (F.col("told") != F.col("own"))).alias("wrong"))
+
+
+WAYS = [
+    "{c} es {v}", "{c} son {v}", "{c} corresponde a {v}", "{c} corresponde al {v}", "{c} funciona como {v}", "{c} se define como {v}", "{c} consiste en {v}", "creo que es un {v} y {c}", "eso es una {v} o {c}", "siempre son {v} y {c}",
+    "{c} y lo demas es en partes {v}", "{c} no es {v}", "{c} no son {v}", "{c} no corresponde a {v}", "{c} no funciona como {v}", "{c} y otra cosa", "otra cosa es {v}", "la {c} es una de las muchas cosas que hay por alla en toda la gran {v}", "{c} junto a {v}",
+]
+WRONG = [True] * 11 + [False] * 8
 
 
 def _graded(s, d):
-    """Documents as answers, with counts that stand for concepts and relations."""
+    """Documents as answers; the concepts that they hold are words of a fixed list, the relations those of the lexicon."""
     n = documents(s, d).select("doc_id", text.normalize("text").alias("n")).withColumn("tokens", text.tokens("n"))
     rel = F.size(text.labels("n", lexicon.RELATIONS))
-    return n.select("doc_id", "n", F.least(F.size("tokens"), F.lit(12)).alias("k"), F.col("doc_id") % 4 == 0, (F.col("doc_id") % 3).cast("int").alias("concepts"), rel.alias("relations"), text.length_profile(F.slice("tokens", 1, 12)).alias("profile"))
+    return n.select("doc_id", "n", F.size("tokens").alias("k"), F.size(F.array_intersect("tokens", F.array(*[F.lit(x) for x in MARKS]))).alias("concepts"), rel.alias("relations"), text.length_profile("tokens").alias("profile"))
 
 
 def quality_gate(s, d):
@@ -180,8 +197,9 @@ def cognitive_level(s, d):
 
 
 def error_types(s, d):
-    g = _graded(s, d).withColumn("present", F.least("concepts", (F.col("doc_id") % 5).cast("int")))
-    e = diagnose.error_type(F.col("n"), F.col("k"), F.col("profile"), F.col("concepts"), F.col("present"), F.col("relations"), (F.col("doc_id") % 11 == 0).cast("int"))
+    g = _graded(s, d)
+    contradicted = (text.negated("n", F.array(*[F.lit(text.stem_py(m)) for m in MARKS]))).cast("int")
+    e = diagnose.error_type(F.col("n"), F.col("k"), F.col("profile"), F.lit(3), F.least("concepts", F.lit(3)), F.col("relations"), contradicted)
     return g.select("doc_id", e["error"].alias("error"), e["severity"].alias("severity"))
 
 
@@ -205,35 +223,6 @@ def weight_inference(s, d):
     return scoring.criterion_weights(c).select("question_id", "concept", rounded("share", 6).alias("share"))
 
 
-def fuzzy_partial_ratio(s, d):
-    """Arrow UDF over the pairs that containment does not settle."""
-    p = pairs(s, d).withColumn("expansions", F.array("variant_norm"))
-    return match.evidence(p).select("conv_id", "turn", "item_id", "contains", "negated", "overlap", F.round("pr", 2).alias("partial_ratio"))
-
-
-def semantic_match_full(s, d):
-    p = pairs(s, d).withColumn("expansions", F.array("variant_norm"))
-    return match.evidence(p).withColumn("d", match.decide(68, 62)).select("conv_id", "turn", "item_id", "d.ok", "d.score", "d.method")
-
-
-def open_score_full(s, d):
-    """Whole grading of users' turns against a rubric made of the benchmark: one open question for each of
-    eight groups of passages, scored, diagnosed and banded."""
-    b = READ(s, d, "benchmark").select((F.col("item_id") % 8).cast("string").alias("id"), "item_id", "text")
-    head = F.array_join(F.slice(F.split("text", r"\s+"), 1, 6), " ")
-    empty = F.expr("array()").cast("array<string>")
-    crit = b.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("item_id", head.alias("head")))).alias("c"))
-    q = crit.select(
-        F.lit(0).alias("q_pos"), "id", F.lit("criteria").alias("item_type"), F.lit(10.0).alias("max_score"), F.lit("").alias("prompt"), empty.alias("accepted_answers"), empty.alias("accepted_concepts"),
-        F.struct(F.lit(None).cast("int").alias("required_number_of_items")).alias("constraints"),
-        F.transform("c", lambda x: F.struct(x["head"].alias("concept"), F.lit(1.0).alias("weight"), empty.alias("semantic_variants"), empty.alias("accepted_values"))).alias("criteria"),
-        F.lit(None).cast(f"array<{rubric.PAIR}>").alias("pairs"), F.lit(None).cast("string").alias("indispensable_element"), empty.alias("equivalent_examples"), F.lit(None).cast("string").alias("evaluation_observations"),
-    )
-    a = READ(s, d, "conversations").filter("role = 'user'").select(F.col("conv_id").cast("string").alias("student_id"), F.col("turn").alias("row_no"), (F.col("turn") % 8).cast("string").alias("question_id"), F.col("text").alias("answer"))
-    out = diagnose.diagnosis(scoring.score_answers(s, a, q, rubric.targets(q)))
-    return out.select("student_id", "row_no", "question_id", F.round("score", 3).alias("score"), F.round("confidence", 2).alias("confidence"), "status", "error_type", "severity", "coverage")
-
-
 def cosine_pairs(s, d):
     """Similarity of each vector with the one before it, by a join on the id."""
     e = READ(s, d, "embeddings").select("vec_id", "embedding", "label")
@@ -302,7 +291,7 @@ def _labels_sql(n: str, *maps) -> str:
 
 _WORDS = "list_filter(string_split(n, ' '), lambda x: x <> '')"
 _GRADED = f"""n AS (SELECT doc_id, {norm_sql("text")} AS n FROM documents), k AS (
-  SELECT doc_id, n, least(len({tokens_sql("n")}), 12) AS k, CAST(doc_id % 3 AS INTEGER) AS concepts, len({_labels_sql("n", lexicon.RELATIONS)}) AS relations FROM n
+  SELECT doc_id, n, len({tokens_sql("n")}) AS k, len(list_distinct(list_intersect({tokens_sql("n")}, {MARKS}))) AS concepts, len({_labels_sql("n", lexicon.RELATIONS)}) AS relations FROM n
 ), g AS (SELECT *, {profile_sql("k")} AS profile FROM k)"""
 
 
@@ -318,28 +307,25 @@ def _gate_value(bands, adds, least) -> str:
 
 _NEG = in_sql(lexicon.NEGATORS)
 QUERIES = {f.__name__: f for f in (
-    normalize_text, semantic_tokens, stem_tokens, length_profile, token_overlap_match, overlap_best_target, contains_match, closed_exact_match, truefalse_score, negation_window, relation_labels,
-    contradiction_flags, quality_gate, partial_factor, cognitive_level, error_types, enumeration_score, matching_score, weight_inference, fuzzy_partial_ratio, semantic_match_full, open_score_full,
-    cosine_pairs, cosine_topk, dedupe_texts, md5_cache_key, slug, split_values, header_normalize, item_type_map,
+    normalize_text, semantic_tokens, stem_tokens, length_profile, contains_match, closed_exact_match, truefalse_score, negation_window, relation_labels,
+    contradiction_flags, quality_gate, partial_factor, cognitive_level, error_types, enumeration_score, matching_score, weight_inference, cosine_pairs, cosine_topk, dedupe_texts, md5_cache_key, slug, split_values, header_normalize, item_type_map,
 )}
 ORACLE_SQL = {
     "normalize_text": f"WITH n AS (SELECT doc_id, {norm_sql('text')} AS n FROM documents) SELECT doc_id, CAST(length(n) AS INTEGER) AS length, md5(n) AS digest FROM n",
     "semantic_tokens": f"WITH n AS (SELECT doc_id, {tokens_sql(norm_sql('text'))} AS t FROM documents) SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM n",
     "stem_tokens": f"WITH n AS (SELECT doc_id, {stems_sql(tokens_sql(norm_sql('text')))} AS t FROM documents) SELECT doc_id, md5(array_to_string(t, ' ')) AS digest FROM n",
     "length_profile": f"WITH {ANSWERS} SELECT {profile_sql('len(tokens)')} AS profile, count(*) AS answers FROM a GROUP BY 1",
-    "token_overlap_match": f"WITH {ANSWERS} SELECT conv_id, turn, item_id, {overlap_sql('stems', 'variant_stems')} AS overlap FROM p",
-    "overlap_best_target": f"WITH {ANSWERS}, o AS (SELECT conv_id, turn, item_id, {overlap_sql('stems', 'variant_stems')} AS overlap FROM p) SELECT conv_id, turn, item_id, overlap FROM o QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY overlap DESC, item_id) = 1",
-    "contains_match": f"""WITH n AS (SELECT doc_id, {norm_sql("text")} AS n FROM documents), h AS (SELECT item_id, array_to_string(list_slice(string_split({norm_sql("text")}, ' '), 1, 6), ' ') AS head FROM benchmark)
-SELECT item_id, count(*) AS documents FROM n JOIN h ON contains(' ' || n || ' ', ' ' || head || ' ') GROUP BY item_id""",
+    "contains_match": f"""WITH n AS (SELECT doc_id, {norm_sql("text")} AS n FROM documents), h AS (SELECT item_id, {norm_sql("text")} AS passage FROM benchmark)
+SELECT item_id, count(*) AS documents FROM n JOIN h ON passage <> '' AND contains(' ' || n || ' ', ' ' || passage || ' ') GROUP BY item_id""",
     "closed_exact_match": f"""WITH {ANSWERS}, f AS (SELECT question_id, arg_min(variant_stems, item_id) AS accepted FROM t GROUP BY question_id)
 SELECT conv_id, turn, list_has_any(stems, accepted) AS correct, CASE WHEN list_has_any(stems, accepted) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM a JOIN f ON a.question_id = f.question_id""",
     "truefalse_score": "SELECT o_orderstatus, count(*) AS answers, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS DOUBLE) AS score, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END), 2) AS confidence FROM orders GROUP BY o_orderstatus",
-    "negation_window": f"""WITH n AS (SELECT doc_id, {norm_sql("text")} AS n FROM documents WHERE lang = 'es'), w AS (
-  SELECT doc_id, {_WORDS} AS w, list_distinct(list_slice({stems_sql(tokens_sql("n"))}, 1, 3)) AS s FROM n
+    "negation_window": f"""WITH n AS (SELECT doc_id, {norm_sql("text")} AS n FROM documents), w AS (
+  SELECT doc_id, {_WORDS} AS w, list_distinct({stems_sql(tokens_sql("n"))}) AS s FROM n
 ), m AS (SELECT doc_id, list_transform(w, lambda t: list_contains(s, {stem_sql("t")})) AS hit, list_transform(w, lambda t: t IN {_NEG} OR ({stem_sql("t")}) IN {_NEG}) AS neg, w, s FROM w)
 SELECT doc_id, len(list_filter(range(1, len(w) + 1), lambda i: hit[i] AND list_contains(list_slice(neg, greatest(1, i - 4), i), true))) > 0 AS negated FROM m""",
     "relation_labels": f"WITH n AS (SELECT doc_id, {norm_sql('text')} AS n FROM documents), l AS (SELECT doc_id, {_labels_sql('n', lexicon.RELATIONS, lexicon.MORE_RELATIONS)} AS l FROM n) SELECT doc_id, array_to_string(l, ',') AS relations, len(l) AS n_relations FROM l",
-    "contradiction_flags": f"WITH n AS (SELECT doc_id, {norm_sql('text')} AS n FROM documents), w AS (SELECT doc_id, {_WORDS} AS w FROM n) SELECT doc_id, doc_id % 2 = 0 AND NOT ends_with(w[2], 'no') AS wrong FROM w WHERE len(w) >= 5",
+    "contradiction_flags": f"SELECT n_nationkey, r_regionkey, CAST(way AS INTEGER) AS way, w AND n_regionkey <> r_regionkey AS wrong FROM nation, region, (VALUES {', '.join(f'({i}, {w})' for i, w in enumerate(WRONG))}) t(way, w)",
     "quality_gate": f"""WITH {_GRADED}, v AS (SELECT *, n = '' OR n IN {in_sql(lexicon.VAGUE)} AS vague FROM g) SELECT doc_id,
   {_gate_value((0.20, 0.40, 0.65, 0.92), (0.08, 0.08, 0.05), 0.95)} AS partial, {_gate_value((0.00, 0.15, 0.45, 0.85), (0.08, 0.12, 0.12), 0.90)} AS inference,
   {_gate_value((0.25, 0.45, 0.70, 0.90), (0.05, 0.08, 0.10), 0.90)} AS relation,
@@ -349,10 +335,11 @@ SELECT event_id, CAST(CASE WHEN event_id % 17 = 0 THEN 0.0 WHEN s >= 66 THEN CAS
   WHEN s >= 54 THEN CASE WHEN p = 'developed' THEN 0.48 ELSE 0.32 END WHEN s >= 48 THEN CASE WHEN p = 'developed' THEN 0.32 ELSE 0.0 END ELSE 0.0 END AS DOUBLE) AS factor FROM e""",
     "cognitive_level": """WITH e AS (SELECT l_quantity / 50.0::DOUBLE AS s, 1.0::DOUBLE - l_tax * 10 AS c, l_linenumber % 3 AS r, l_linenumber > 3 AS dev, 1.0::DOUBLE - l_discount * 3 AS conf FROM lineitem)
 SELECT CASE WHEN s <= 0.05 THEN 'E0' WHEN s < 0.40 OR c < 0.30 THEN 'E1' WHEN s < 0.70 THEN 'E2' WHEN s < 0.90 OR r = 0 THEN 'E3' WHEN dev AND conf >= 0.75 THEN 'E4' ELSE 'E3' END AS level, count(*) AS answers FROM e GROUP BY 1""",
-    "error_types": f"""WITH {_GRADED}, v AS (SELECT *, least(concepts, doc_id % 5) AS present FROM g), e AS (
-  SELECT doc_id, CASE WHEN n = '' THEN 'empty' WHEN n IN {in_sql(lexicon.VAGUE)} OR k <= 1 THEN 'vague' WHEN doc_id % 11 = 0 THEN 'contradiction' WHEN concepts > 0 AND present = 0 THEN 'off focus'
-    WHEN present > 0 AND present < concepts AND profile IN ('brief', 'short') THEN 'brief and partial' WHEN present > 0 AND present < concepts THEN 'incomplete'
-    WHEN concepts >= 2 AND present >= 2 AND relations = 0 AND profile = 'developed' THEN 'weak relation' ELSE 'none' END AS error FROM v
+    "error_types": f"""WITH {_GRADED}, c AS (SELECT *, least(concepts, 3) AS present, {_WORDS} AS w FROM g), m AS (
+  SELECT *, list_transform(w, lambda t: list_contains({[text.stem_py(m) for m in MARKS]}, {stem_sql("t")})) AS hit, list_transform(w, lambda t: t IN {_NEG} OR ({stem_sql("t")}) IN {_NEG}) AS neg FROM c
+), v AS (SELECT *, len(list_filter(range(1, len(w) + 1), lambda i: hit[i] AND list_contains(list_slice(neg, greatest(1, i - 4), i), true))) > 0 AS negated FROM m), e AS (
+  SELECT doc_id, CASE WHEN n = '' THEN 'empty' WHEN n IN {in_sql(lexicon.VAGUE)} OR k <= 1 THEN 'vague' WHEN negated THEN 'contradiction' WHEN present = 0 THEN 'off focus'
+    WHEN present < 3 AND profile IN ('brief', 'short') THEN 'brief and partial' WHEN present < 3 THEN 'incomplete' WHEN relations = 0 AND profile = 'developed' THEN 'weak relation' ELSE 'none' END AS error FROM v
 ) SELECT doc_id, error, CASE WHEN error IN ('empty', 'contradiction', 'off focus') THEN 'high' WHEN error IN ('vague', 'incomplete', 'weak relation') THEN 'medium' ELSE 'low' END AS severity FROM e""",
     "enumeration_score": "SELECT l_orderkey, count(DISTINCT l_partkey) AS hits, round(CAST(least(count(DISTINCT l_partkey), 5) AS DOUBLE) / 5 * 3.0::DOUBLE + 1e-9::DOUBLE, 3) AS score FROM lineitem GROUP BY l_orderkey",
     "matching_score": "WITH w AS (SELECT l_orderkey, CAST(sum(CASE WHEN l_quantity >= 10 AND l_discount >= 0.03 THEN 1 ELSE 0 END) AS DOUBLE) AS w FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey, least(w, 4.0::DOUBLE) AS score, round(w / 4.0::DOUBLE, 3) AS confidence FROM w",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marklake.functions import lexicon, text
+from marklake.sources import xlsx
 
 CRITERION = "struct<concept: string, weight: double, semantic_variants: array<string>, accepted_values: array<string>>"
 PAIR = "struct<prompt_value: string, correct_match: string, weight: double>"
@@ -74,8 +75,25 @@ def catalog(spark: SparkSession, *folders: str) -> DataFrame:
 
 
 def select_rubric(documents: DataFrame, name: str | None = None) -> DataFrame:
-    """The rubric of a file name, or the first; only names in the catalog can be chosen."""
-    return (documents.filter(F.col("file_name") == name) if name else documents).orderBy("file_name").limit(1)
+    """The rubric of a file name, or the first.  A name that is not in the catalog, and a catalog without rubrics, are
+    errors."""
+    found = documents.filter(F.col("questions").isNotNull())
+    found = (found.filter(F.col("file_name") == name) if name else found).orderBy("file_name").limit(1)
+    if found.isEmpty():
+        raise LookupError(f"there is no rubric named {name!r}" if name else "there are no rubrics")
+    return found
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """The questions of an uploaded rubric, by the suffix of its name: .json, .xlsx or .csv (a flat table)."""
+    kind = path.rsplit(".", 1)[-1].lower()
+    if kind == "json":
+        return questions(select_rubric(read_documents(spark, path)))
+    if kind == "xlsx":
+        return from_table(xlsx.read(spark, path))
+    if kind == "csv":
+        return from_table(spark.read.option("header", True).csv(path))
+    raise ValueError("a rubric is a .json, .xlsx or .csv file")
 
 
 def questions(documents: DataFrame) -> DataFrame:

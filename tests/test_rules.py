@@ -138,7 +138,8 @@ def test_rubric_documents(spark, tmp_path):
     docs = rubric.read_documents(spark, str(tmp_path))
     assert [r.label for r in rubric.catalog(spark, str(tmp_path)).collect()] == ["One"]
     assert rubric.questions(docs.filter("questions is not null")).first().item_type == "criteria"
-    assert rubric.select_rubric(docs, "../one.json").count() == 0
+    with pytest.raises(LookupError):
+        rubric.select_rubric(docs, "../one.json")
 
 
 def test_workbook(spark, tmp_path):
@@ -219,3 +220,46 @@ def test_sessions_once(spark):
 def test_stem_takes_the_first_suffix_that_fits(spark):
     made = [stem + a + b for stem in ("casa", "gravi", "abcdef") for a in ("", *lexicon.SUFFIXES) for b in ("", *lexicon.SUFFIXES)]
     assert values(spark, text.stem("t"), *made) == [text.stem_py(t) for t in made]
+
+
+def test_prompt_is_stripped(spark):
+    rows = [("What is a cell membrane exactly? It is the border of a cell", "What is a cell membrane exactly?"), ("It is the border", "What is it"), ("what is it", "What is it"), (None, "x"), ("a b", None), ("", "")]
+    got = spark.createDataFrame(rows, "s string, p string").select(ocr.strip_prompt("s", "p").alias("o")).collect()
+    assert [r.o for r in got] == ["It is the border of a cell", "It is the border", "what is it", "", "a b", ""]
+
+
+def test_engine_status(spark):
+    rows = [("a", 0.5, True, None), ("a", 0.0, False, "IOError: x"), ("b", 0.0, False, "no key")]
+    got = {r.engine: (r.tried, r.found, r.failed, r.confidence, r.available) for r in ocr.engine_status(spark.createDataFrame(rows, "engine string, confidence double, found boolean, message string"), ["a", "b", "c"]).collect()}
+    assert got == {"a": (2, 1, 1, 0.5, True), "b": (1, 0, 1, 0.0, False), "c": (0, 0, 0, 0.0, False)}
+
+
+def test_uploaded_rubric_by_suffix(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("Pregunta,Tipo de pregunta,Puntaje,Ideas esperadas\nP1,Completar,2,rojo; azul\n")
+    assert [tuple(r) for r in rubric.load(spark, str(tmp_path / "r.csv")).select("id", "item_type", "max_score", "accepted_answers").collect()] == [("P1", "completion", 2.0, ["rojo", "azul"])]
+    (tmp_path / "r.json").write_text('{"name": "R", "questions": [{"id": "P7", "item_type": "V/F", "accepted_answers": ["V"]}]}')
+    assert [r.id for r in rubric.load(spark, str(tmp_path / "r.json")).collect()] == ["P7"]
+    (tmp_path / "bad.json").write_text("[1, 2")
+    for name, error in (("bad.json", LookupError), ("r.txt", ValueError)):
+        with pytest.raises(error):
+            rubric.load(spark, str(tmp_path / name))
+
+
+def test_workbooks_have_all_their_sheets(spark, sf_dir, tmp_path):
+    from marklake.operators import report
+    from marklake.plans import grading
+    from marklake.sources import sinks
+
+    graded = grading.graded(spark, sf_dir)
+    batch = report.sheets(graded, "R", "r.json", "a.xlsx", ["1", "2"], {"model": "m"})
+    assert len(batch) == 13 and len(report.traceability(graded).columns) == 14 and batch["summary"].columns[0] == "rubric" and len(batch["summary"].columns) == 11
+    session = graded.select("student_id").distinct().selectExpr("student_id", "'c' course", "'e' exam", "'d' date", "'raw' raw_text", "'edited' edited_text")
+    one = report.session_sheets(graded, session, session.selectExpr("student_id", "1 page", "'hosted' engine"), ["1", "2"], "hosted")
+    assert len(one) == 8
+    small = {k: v for k, v in (batch | {f"session_{k}": v for k, v in one.items()}).items() if k in ("summary", "interpretation", "robustness", "embeddings", "validation", "types", "session_summary", "session_text")}
+    sinks.write_sheets(small, str(tmp_path), "csv")
+    for k in small:
+        assert spark.read.option("header", True).csv(f"{tmp_path}/{k}").columns == small[k].columns
+    assert batch["validation"].first().encoder_model == "m" and one["feedback"].filter("cognitive_level is null").count() == 0
+    people = graded.select("student_id").distinct().count()
+    assert batch["scores"].count() == people == one["summary"].count() and batch["confidence"].count() == people
