@@ -190,6 +190,27 @@ def test_copies_of_one_original_meet_in_the_middle(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got.itertuples()} == brute_components(rows)
 
 
+@pytest.mark.parametrize("bits", [20, 6])
+def test_the_first_shared_shingle_is_among_the_first_few(bits, monkeypatch):
+    """Pairs just at the bound, of equal and of different sizes, however coarse the counts."""
+    monkeypatch.setattr(near_dedup, "SKETCH", bits)
+    rng = np.random.default_rng(bits)
+    for _ in range(200):
+        n, m = np.sort(rng.integers(1, 120, 2))
+        shared = -(-85 * (n + m) // 185)
+        if shared > n:
+            continue
+        pool = rng.integers(-(1 << 62), 1 << 62, n + m).astype(np.int64)
+        x, y = np.sort(pool[:n]), np.sort(pool[n - shared : n - shared + m])
+        batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([0, 0]), pa.array([x.tolist(), y.tolist()])], ["id", "variant", "members"])
+        often = np.bincount(near_dedup._slots(np.concatenate([x, y])), minlength=1 << bits)
+        a, b = next(near_dedup._rarest(type("B", (), {"value": often}), 85)(iter([batch]))).to_pylist()
+        common = set(a["rare"][: a["smaller"]]) & set(b["rare"])
+        assert common and {a["rare"].index(c) for c in common} <= set(a["places"])
+        i, j = min((a["rare"].index(c), b["rare"].index(c)) for c in common)
+        assert min(n - i, m - j) * 185 >= (n + m) * 85
+
+
 @pytest.mark.parametrize("tile", [0, 3])
 def test_rare_shingles_lose_no_link(spark, monkeypatch, tile):
     """All buckets split by rare shingles, one round of leaders: sizes and similarities on both sides of the bound."""
