@@ -11,11 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 ACCEPT, REVIEW = 0.82, 0.48
+GUARD = 1e-9
 
 
 def rounded(c: Column | str, digits: int) -> Column:
     """Half up.  The guard makes ties go the same way whatever the order in which doubles were added."""
-    return F.round((F.col(c) if isinstance(c, str) else c) + F.lit(1e-9), digits)
+    return F.round(guarded(F.col(c) if isinstance(c, str) else c), digits)
+
+
+def guarded(mean: Column) -> Column:
+    """A mean as it is held against a bound: one that lies on the bound is on it, however its sum was rounded."""
+    return mean + F.lit(GUARD)
 
 
 def status(confidence: Column) -> Column:
@@ -24,7 +30,7 @@ def status(confidence: Column) -> Column:
 
 def level(percent: Column) -> Column:
     """Performance level of a percentage, which may be any type."""
-    p = percent.try_cast("double")
+    p = guarded(percent.try_cast("double"))
     return F.when(p.isNull(), "unknown").when(p >= 80, "high").when(p >= 60, "medium").otherwise("low")
 
 
@@ -45,9 +51,10 @@ def student_totals(scored: DataFrame, by: list[str], total_score: float | None =
 
 
 def classify(avg_pct: Column, accepted: Column, caution: Column, review: Column, confidence: Column) -> Column:
+    """The rates are quotients of counts, which no order changes; the two means are sums of doubles."""
     return (
-        F.when((avg_pct >= 80) & (review < 20), "high performance")
-        .when((review >= 35) | (accepted <= 50) | (confidence < 0.60), "needs review")
+        F.when((guarded(avg_pct) >= 80) & (review < 20), "high performance")
+        .when((review >= 35) | (accepted <= 50) | (guarded(confidence) < 0.60), "needs review")
         .when(caution >= 30, "intermediate")
         .otherwise("adequate")
     )
@@ -57,14 +64,14 @@ def suggestion(classification: Column, review: Column, avg_pct: Column, confiden
     return (
         F.when(F.contains(F.lower(classification), F.lit("review")), "revise the question, the rubric or the criteria")
         .when(review >= 30, "check a sample of answers by hand")
-        .when(avg_pct < 60, "hard for the group: reinforce the content")
-        .when(confidence < 0.70, "give more explicit criteria or examples")
+        .when(guarded(avg_pct) < 60, "hard for the group: reinforce the content")
+        .when(guarded(confidence) < 0.70, "give more explicit criteria or examples")
         .otherwise("stable")
     )
 
 
 def item_statistics(scored: DataFrame, by: list[str]) -> DataFrame:
-    """Averages, rates, class and suggestion of each item.  Rules see unrounded values."""
+    """Averages, rates, class and suggestion of each item.  Rules see unrounded values, with the guard of ``rounded``."""
     n = F.count("*")
     t = scored.groupBy(*by).agg(n.alias("answers"), F.avg("score").alias("s"), F.max("max_score").alias("m"), F.avg("confidence").alias("c"), *rates(n))
     t = t.withColumn("p", percent_of(F.col("s"), F.col("m")))

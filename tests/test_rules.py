@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import zipfile
 
 import pytest
@@ -106,6 +107,23 @@ def test_bands(spark):
     assert get(vision.light(F.lit(77.0))) == "yellow"
 
 
+@pytest.mark.parametrize(
+    ("answers", "whole", "expected"),
+    [
+        ((0.3, 0.39, 0.72, 0.99), 1.0, ("medium", "adequate", "give more explicit criteria or examples")),  # means of 60 percent and 0.6
+        ((0.6, 0.7, 0.8), 1.0, ("medium", "adequate", "stable")),  # 0.7
+        ((17.6, 41.6, 43.2, 48.0, 49.6), 50.0, ("high", "high performance", "stable")),  # 80 percent
+    ],
+)
+def test_means_on_a_bound(spark, answers, whole, expected):
+    """An item for each order of the same answers, whose mean lies on bounds of the rules: all get one verdict."""
+    orders = list(itertools.permutations(answers))
+    rows = [(i, x, whole, x / whole, "accepted") for i, o in enumerate(orders) for x in o]
+    scored = spark.createDataFrame(rows, "item_id int, score double, max_score double, confidence double, status string").coalesce(1)
+    got = insight.item_statistics(scored, ["item_id"]).groupBy("item_level", "classification", "suggestion").count().collect()
+    assert [tuple(r) for r in got] == [(*expected, len(orders))]
+
+
 def test_sample_answers(spark):
     """The expected results of the sample tables."""
     q = rubric.from_table(templates.rubric_table(spark))
