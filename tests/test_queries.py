@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import itertools
 import os
 
 import duckdb
@@ -51,3 +52,19 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(registry.QUERIES) <= set(__spark_entry__.queries())
+
+
+@pytest.fixture(scope="module")
+def bound_dir(spark, tmp_path_factory):
+    """An item for each order of five answers, whose mean is 80 percent, none of them accepted: below 80, an item is to be revised."""
+    d = str(tmp_path_factory.mktemp("bound"))
+    orders = list(itertools.permutations((11.0, 26.0, 27.0, 30.0, 31.0)))
+    lines = [(5 * i + k, i, 1, q, 0.06, 0.0, "N") for i, o in enumerate(orders) for k, q in enumerate(o)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_returnflag string").coalesce(1).write.parquet(f"{d}/lineitem.parquet")
+    spark.createDataFrame([(x[0], x[1]) for x in lines], "o_orderkey long, o_custkey long").coalesce(1).write.parquet(f"{d}/orders.parquet")
+    return d
+
+
+def test_problem_items_on_a_bound(spark, bound_dir):
+    assert registry.QUERIES["item_statistics"](spark, bound_dir).count() == 120
+    assert registry.QUERIES["problem_items"](spark, bound_dir).collect() == []
