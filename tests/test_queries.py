@@ -68,3 +68,9 @@ def bound_dir(spark, tmp_path_factory):
 def test_problem_items_on_a_bound(spark, bound_dir):
     assert registry.QUERIES["item_statistics"](spark, bound_dir).count() == 120
     assert registry.QUERIES["problem_items"](spark, bound_dir).collect() == []
+
+
+def test_interpretation_kpis_on_a_bound(spark, bound_dir):
+    row = registry.QUERIES["interpretation_kpis"](spark, bound_dir).first()
+    assert (row.students, row.avg_pct, row.level, row.problems) == (120, 80.0, "high", 0)
+    assert row.summary.endswith(" 0 items to revise.")
