@@ -74,3 +74,8 @@ def test_interpretation_kpis_on_a_bound(spark, bound_dir):
     row = registry.QUERIES["interpretation_kpis"](spark, bound_dir).first()
     assert (row.students, row.avg_pct, row.level, row.problems) == (120, 80.0, "high", 0)
     assert row.summary.endswith(" 0 items to revise.")
+
+
+def test_report_rows_on_a_bound(spark, bound_dir):
+    got = {r.indicator: r.value for r in registry.QUERIES["report_rows"](spark, bound_dir).collect()}
+    assert (got["items"], got["level"], got["mean percent"], got["to revise"]) == ("120", "high", "80.0%", "0")
