@@ -19,6 +19,12 @@ def rounded(c: Column | str, digits: int) -> Column:
     return F.round(guarded(F.col(c) if isinstance(c, str) else c), digits)
 
 
+def figure(c: Column | str, digits: int) -> Column:
+    """Rounded, as text with so many digits: null, nan and inf as the SQL's ``format`` has them."""
+    x = rounded(c, digits)
+    return F.when(x.isNotNull(), F.replace(F.lower(F.format_string(f"%.{digits}f", x)), F.lit("infinity"), F.lit("inf")))
+
+
 def guarded(mean: Column) -> Column:
     """A mean as it is held against a bound: one that lies on the bound is on it, however its sum was rounded."""
     return mean + F.lit(GUARD)
@@ -98,7 +104,7 @@ def global_rates(scored: DataFrame) -> DataFrame:
 
 
 def interpretation(items: DataFrame, students: DataFrame, rubric: str) -> DataFrame:
-    """One row: the means over items, the level, the problem items and a sentence."""
+    """One row: the means over items, the level, the problem items and a sentence, null where it lacks a figure."""
     means = items.agg(
         F.avg("avg_pct").alias("p"), F.avg("review_pct").alias("r"), F.avg("avg_confidence").alias("c"),
         F.sum(F.when(F.col("classification") == "needs review", 1).otherwise(0)).alias("problems"),
@@ -106,9 +112,9 @@ def interpretation(items: DataFrame, students: DataFrame, rubric: str) -> DataFr
     count = students.agg(F.countDistinct("student_id").alias("students"))
     both = means.unionByName(count, allowMissingColumns=True)  # a row each, folded into one
     t = both.agg(*[F.max(c).alias(c) for c in ("p", "r", "c", "problems", "students")])
-    text = F.format_string(
-        f"{rubric}: %d students, %s performance, %.1f%% of the score on average, mean confidence %.2f, %.1f%% for manual review, %d items to revise.",
-        "students", level(F.col("p")), rounded("p", 1), rounded("c", 2), rounded("r", 1), "problems",
+    text = F.concat(
+        F.lit(f"{rubric}: "), "students", F.lit(" students, "), level(F.col("p")), F.lit(" performance, "), figure("p", 1), F.lit("% of the score on average, mean confidence "),
+        figure("c", 2), F.lit(", "), figure("r", 1), F.lit("% for manual review, "), "problems", F.lit(" items to revise."),
     )
     return t.select("students", rounded("p", 1).alias("avg_pct"), level(F.col("p")).alias("level"), rounded("c", 2).alias("avg_confidence"), rounded("r", 1).alias("review_pct"), "problems", text.alias("summary"))
 

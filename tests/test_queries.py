@@ -79,3 +79,34 @@ def test_interpretation_kpis_on_a_bound(spark, bound_dir):
 def test_report_rows_on_a_bound(spark, bound_dir):
     got = {r.indicator: r.value for r in registry.QUERIES["report_rows"](spark, bound_dir).collect()}
     assert (got["items"], got["level"], got["mean percent"], got["to revise"]) == ("120", "high", "80.0%", "0")
+
+
+NAN, INF = float("nan"), float("inf")
+
+
+def gradebook_dir(spark, tmp_path, lines):
+    """A gradebook of (item, quantity, discount), an order each."""
+    d = str(tmp_path / "book")
+    lines = [(i, item, 1, q, disc, 0.0, "N") for i, (item, q, disc) in enumerate(lines)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_returnflag string").coalesce(1).write.parquet(f"{d}/lineitem.parquet")
+    spark.createDataFrame([(x[0], x[0]) for x in lines], "o_orderkey long, o_custkey long").coalesce(1).write.parquet(f"{d}/orders.parquet")
+    return d
+
+
+def assert_equals_sql(spark, d, name, sql=None):
+    """Row by row as Python values, so that null, nan and an empty text differ."""
+    c = duckdb.connect()
+    for t in ("lineitem", "orders"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet/*.parquet'")
+    df = registry.QUERIES[name](spark, d)
+    want = c.sql(f"SELECT {', '.join(df.columns)} FROM ({sql or registry.ORACLE_SQL[name]})").fetchall()
+    assert sorted(repr(tuple(r)) for r in df.collect()) == sorted(map(repr, want))
+
+
+ODD = {"empty": [], "no confidence": [(1, 10.0, None), (1, 40.0, None)], "nan": [(1, 30.0, NAN), (2, 20.0, 0.01)], "inf": [(1, -INF, 0.01), (2, -20.0, 0.01)]}
+
+
+@pytest.mark.parametrize("lines", ODD.values(), ids=ODD)
+def test_interpretation_kpis_of_missing_figures(spark, tmp_path, lines):
+    d = gradebook_dir(spark, tmp_path, lines)
+    assert_equals_sql(spark, d, "interpretation_kpis")
