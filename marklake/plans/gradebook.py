@@ -96,20 +96,21 @@ def missing_items_anti(spark: SparkSession, d: str) -> DataFrame:
 
 
 def report_rows(spark: SparkSession, d: str) -> DataFrame:
-    """The report as section, indicator and value, by union of aggregates of one row each."""
+    """The report as section, indicator and value, by union of aggregates of one row each; a value that has nothing to rest on is null."""
     book = gradebook(spark, d)
     totals, items = insight.student_totals(book, ["student_id"]), insight.item_statistics(book, ["item_id"])
     mean = F.avg("percent")
+    names = F.when(F.count("item_id") > 0, F.array_join(F.array_sort(F.collect_list("item_id")), ", "))
 
     def row(df: DataFrame, section: str, name: str, value) -> DataFrame:
         return df.agg(value.cast("string").alias("value")).select(F.lit(section).alias("section"), F.lit(name).alias("indicator"), "value")
 
     out = row(totals, "summary", "students", F.count("*"))
     for part in (
-        row(items, "summary", "items", F.count("*")), row(totals, "results", "level", insight.level(mean)), row(totals, "results", "mean percent", F.format_string("%.1f%%", insight.rounded(mean, 1))),
+        row(items, "summary", "items", F.count("*")), row(totals, "results", "level", insight.level(mean)), row(totals, "results", "mean percent", F.concat(insight.figure(mean, 1), F.lit("%"))),
         row(items, "items", "to revise", F.sum(F.when(F.col("classification") == "needs review", 1).otherwise(0))),
-        row(insight.extremes(items, "item_id"), "items", "hardest", F.array_join(F.array_sort(F.collect_list("item_id")), ", ")),
-        row(insight.extremes(items, "item_id", hardest=False), "items", "best", F.array_join(F.array_sort(F.collect_list("item_id")), ", ")),
+        row(insight.extremes(items, "item_id"), "items", "hardest", names),
+        row(insight.extremes(items, "item_id", hardest=False), "items", "best", names),
     ):
         out = out.unionByName(part)
     return out

@@ -112,6 +112,11 @@ def test_interpretation_kpis_of_missing_figures(spark, tmp_path, lines):
     assert_equals_sql(spark, d, "interpretation_kpis")
 
 
+@pytest.mark.parametrize("lines", ODD.values(), ids=ODD)
+def test_report_rows_of_missing_figures(spark, tmp_path, lines):
+    assert_equals_sql(spark, gradebook_dir(spark, tmp_path, lines), "report_rows")
+
+
 @pytest.mark.parametrize("name", ["interpretation_kpis", "problem_items", "report_rows"])
 def test_equals_sql_with_compensated_sums(spark, bound_dir, name):
     """On a bound the SQL's plain sums of doubles go by the order of the rows; its compensated ones don't."""
